@@ -17,6 +17,12 @@ def op1_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_minhash(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_secrets(spark, sf_dir):
     from .secrets import digest, scan_secrets
 
@@ -44,7 +50,7 @@ def op9_url_filter(spark, sf_dir):
     return filter_urls(_table(spark, sf_dir, "pages"), url_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_secrets, op5_mix, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op9_url_filter)}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -63,6 +69,16 @@ with d as (select doc_id, {_WORDS} w from documents),
      its as (select doc_id, count(distinct item) n_items, sha256(string_agg(distinct item, ',' order by item)) h from hits group by doc_id)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, coalesce(h, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join words using (doc_id) left join its using (doc_id)""",
+    "op2_minhash": rf"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+'), []) w from documents),
+     g as (select distinct doc_id, array_to_string(w[s:s + l - 1], ' ') t from (select doc_id, w, least(len(w), 4) l, unnest(range(1, len(w) - least(len(w), 4) + 2)) s from d where len(w) > 0)),
+     n as (select doc_id, count(*) n from g group by doc_id),
+     i as (select x.doc_id a, y.doc_id b, count(*) i from g x join g y using (t) where x.doc_id <> y.doc_id group by all),
+     e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+     r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+     m as (select a, least(a, min(b)) c from r group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(c, doc_id) component_id, coalesce(c, doc_id) = doc_id kept
+from d left join n using (doc_id) left join m on a = doc_id""",
     "op5_mix": r"""
 with d as (select doc_id, source, len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []))::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h from documents),
      s as (select source, sum(size)::bigint source_size from d group by source),
