@@ -38,6 +38,12 @@ def op5_mix(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    from .quality import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("kept")
+
+
 def url_rules(spark):
     #: The rules of the query.
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -50,7 +56,14 @@ def op9_url_filter(spark, sf_dir):
     return filter_urls(_table(spark, sf_dir, "pages"), url_rules(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op9_url_filter)}
+def op10_line_dedup(spark, sf_dir):
+    from .line_dedup import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op7_quality, op9_url_filter, op10_line_dedup)}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
