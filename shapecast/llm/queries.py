@@ -38,12 +38,25 @@ def op5_mix(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark, sf_dir):
+    from .license_scan import scan_licenses
+
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op7_quality(spark, sf_dir):
     from .quality import resample
 
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("kept")
 
 
+def op8_media(spark, sf_dir):
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def url_rules(spark):
     #: The rules of the query.
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -63,7 +76,7 @@ def op10_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op7_quality, op9_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op6_licenses, op7_quality, op8_media, op9_url_filter, op10_line_dedup)}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
