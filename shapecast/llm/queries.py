@@ -32,6 +32,13 @@ def op3_secrets(spark, sf_dir):
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["copied"])).cast("long").alias("n_copied"))
 
 
+def op4_katz(spark, sf_dir):
+    from .katz import score_texts
+
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
+    return score_texts(_table(spark, sf_dir, "documents"), train)
+
+
 def op5_mix(spark, sf_dir):
     from .mixing import mix_sources
 
@@ -76,7 +83,7 @@ def op10_line_dedup(spark, sf_dir):
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op5_mix, op6_licenses, op7_quality, op8_media, op9_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets, op4_katz, op5_mix, op6_licenses, op7_quality, op8_media, op9_url_filter, op10_line_dedup)}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
