@@ -1,8 +1,10 @@
 """MinHash near-dedup: universal hash minima in bands, signatures, full sets, connected components.
 
 Texts with the same shingle set are one node, so that copies never meet in a bucket. Every bucket of a band is compared as
-a star around its smallest node; buckets that still hold several components afterwards have every pair across components
-compared that the star left out. A pair passes size, signature and at last full-set comparison before it is a link.
+a star around its smallest node. In buckets that still hold several components afterwards, the pairs across components are
+compared that the star left out, but for those that can't be links: the shingles that a text shares with others bound the
+intersection, and so the sizes that a partner may have. A pair passes size, signature and at last full-set comparison
+before it is a link.
 """
 
 from __future__ import annotations
@@ -78,6 +80,17 @@ def signer(k: int, bands: int, rows: int):
     return run
 
 
+def shingles(k: int):
+    """Arrow batches (id, h) to (id, s): the shingle sets."""
+    def run(batches):
+        for batch in batches:
+            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            sets = [shingle_set(flat[at[i] : at[i + 1]], k).view(np.int64) for i in range(batch.num_rows)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return run
+
+
 def alike_signatures(least: float):
     """Keeps the pairs (a, b, sig_a, sig_b) whose signatures agree in at least this part."""
     def run(batches):
@@ -109,14 +122,14 @@ def alike_sets(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 45, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
     Words are lower-cased runs without white space; a text with fewer words than a shingle is one shingle; an empty or
-    null text has none and is linked with nothing. Links: 100 * intersection >= percent * union of the full sets. With 45
-    bands of 6 minima a pair at 0.8 shares no bucket with a probability of about 1e-6. Signatures only rule out pairs that
+    null text has none and is linked with nothing. Links: 100 * intersection >= percent * union of the full sets. With 32
+    bands of 5 minima a pair at 0.8 shares no bucket with a probability of about 3e-6. Signatures only rule out pairs that
     lie five standard deviations under the limit. No bucket is cut off: a large one costs one comparison per node, and
-    only buckets that then hold several components cost more. Documents with a null id keep a null component and aren't
+    only pairs across components that sizes and shared shingles allow are compared besides. Documents with a null id keep a null component and aren't
     kept, though their texts may link others' copies. Repeated rows share component and decision. Other columns are not
     looked at. The ids must be integers.
     """
@@ -125,8 +138,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(d.select("id", hashes(F.col("text")).alias("h")).mapInArrow(signer(shingle, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"), "signatures")
     nodes = written(signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("x")).select("digest", "x.*"), "nodes")
     members = nodes.select("id", F.explode("bands").alias("key"))
-    centres = written(members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"), "centres")
-    stars = members.join(centres, "key").where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
+    centres = members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
+    grouped = written(members.join(centres, "key").select("key", "c", "id"), "buckets")
+    stars = grouped.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
     deviation = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -141,15 +155,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(stars)
     of = written(components(links), "components")
     # what the stars left out: pairs across components in buckets that hold several
-    held = members.join(centres, "key").join(of.withColumnRenamed("node", "id"), "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("component"))
+    held = grouped.join(of.withColumnRenamed("node", "id"), "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("component"))
     mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key")
     held = written(held.join(mixed, "key", "left_semi"), "mixed")
     if not held.isEmpty():
+        ids = held.select("id").distinct()
+        # a shingle that no other node of these buckets has can't be in an intersection
+        sets = d.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", hashes(F.col("text")).alias("h")).mapInArrow(shingles(shingle), "id long, s array<long>")
+        lone = sets.select("id", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count("*").alias("lone"))
+        t = percent / 100
+        able = nodes.select("id", "n").join(ids, "id", "left_semi").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+        able = able.withColumn("most", F.floor(F.col("common") / t + F.col("common") - F.col("n") + 1e-9)).where("most >= floor(n * %r)" % t)
+        held = written(held.where("id <> c").join(able, "id"), "able")
         most = held.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", "m").alias("largest"))
-        fewer = held.join(most, "key").where("component <> largest and id <> c").select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        rest = fewer.join(held.where("id <> c").select("key", F.col("id").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb")
-        links = links.union(confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-        of = written(components(links), "components")
+        grade = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
+        low, high = F.ceil(F.col("na") * t - 1e-9), F.least("most_a", F.floor(F.col("na") / t + 1e-9))
+        fewer = held.join(most, "key").where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("most_a"))
+        fewer = fewer.where(high >= low).withColumn("grade", F.explode(F.sequence(grade(low), grade(high))))
+        others = held.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("most_b"), grade(F.col("n")).alias("grade"))
+        rest = fewer.join(others, ["key", "grade"]).where("ca <> cb and nb <= most_a and na <= most_b")
+        rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+        if not rest.isEmpty():
+            links = links.union(confirmed(rest))
+            of = written(components(links), "components")
     node = nodes.select("digest", F.col("id").alias("node")).join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "digest").join(written(node, "classes"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
