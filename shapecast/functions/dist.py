@@ -8,10 +8,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .expr import Numpy, Spark, special_lgamma, special_ndtr, special_ndtri, to_column, to_numpy, var
+from .expr import Numpy, Spark, const, special_lgamma, special_ndtr, special_ndtri, to_column, to_numpy, var
 from .families import Family, resolve
 
 
@@ -254,10 +255,13 @@ def cdf_column(family, y: Column, params: dict[str, Column]) -> Column | None:
     return to_column(f.cdf(var("y"), **{k: var(k) for k in (*f.parameters, *f.fixed) if k in params}), {"y": y, **params})
 
 
-def quantile_column(family, prob: Column, params: dict[str, Column]) -> Column | None:
+def quantile_column(family, prob: Column | float, params: dict[str, Column]) -> Column | None:
+    """A probability given as a number is folded into constants."""
     f = resolve(family)
     if f.quantile is None:
         return None
+    if not isinstance(prob, Column):
+        return to_column(f.quantile(const(prob), **{k: var(k) for k in f.parameters}), dict(params))
     return to_column(f.quantile(var("p"), **{k: var(k) for k in f.parameters}), {"p": prob, **params})
 
 
@@ -280,15 +284,13 @@ def with_values(df: DataFrame, family, what: str, x: str, out: str, params: dict
         return df.withColumn(out, made)
     names, kind = [*params], what
 
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def value(x: pd.Series, *ps: pd.Series) -> pd.Series:
+    def value(x, *ps):
         par = {k: s.to_numpy() for k, s in zip(names, ps, strict=True)}
         fn = {"d": lambda: d(f, x, **par), "logd": lambda: d(f, x, log=True, **par), "p": lambda: p(f, x, **par), "q": lambda: q(f, x, **par), "r": lambda: q(f, x, **par)}[kind]
         return pd.Series(fn())
 
-    return df.withColumn(out, value(xc, *cols.values()))
+    value.__annotations__ = {"x": pd.Series, "ps": pd.Series, "return": pd.Series}
+    return df.withColumn(out, F.pandas_udf(value, "double")(xc, *cols.values()))
 
 
 def normal_cdf(x: Column) -> Column:

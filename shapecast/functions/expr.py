@@ -114,7 +114,10 @@ def _mul(a: E, b: E) -> E:
 
 def _unary(op: str):
     def make(x) -> E:
-        return E(op, wrap(x))
+        x = wrap(x)
+        if x.op == "const":  # folded here, so that constants cost nothing in generated code
+            return const(float(to_numpy(E(op, x), {})))
+        return E(op, x)
 
     make.__name__ = op
     return make
@@ -125,10 +128,12 @@ log1p, expm1, asinh, sinh, cosh, tanh, atan, sin, cos = (_unary(x) for x in ("lo
 lgamma, digamma, trigamma = _unary("lgamma"), _unary("digamma"), _unary("trigamma")
 #: Phi and its logarithm.
 ndtr, log_ndtr = _unary("ndtr"), _unary("log_ndtr")
-floor = _unary("floor")
+ndtri, floor = _unary("ndtri"), _unary("floor")
 
 
 def where(cond: E, a, b) -> E:
+    if cond.op in ("lt", "le", "eq") and all(x.op == "const" for x in cond.args):
+        return wrap(a) if bool(to_numpy(cond, {})) else wrap(b)
     return E("where", cond, wrap(a), wrap(b))
 
 
@@ -331,7 +336,7 @@ def special_log_ndtr(m, x):
 
 
 def special_ndtri(m, p):
-    """Normal quantile: Acklam's rational form and one Halley step."""
+    """Normal quantile: Acklam's rational form, and in numpy one Halley step."""
     q = m.minimum(p, 1.0 - p)
     tail = m.sqrt(-2.0 * m.log(m.minimum(q, 0.02425)))
     x_tail = horner(ACKLAM_C, tail) / horner([*ACKLAM_D, 1.0], tail)
@@ -339,13 +344,14 @@ def special_ndtri(m, p):
     r = d * d
     x_mid = horner(ACKLAM_A, r) * d / horner([*ACKLAM_B, 1.0], r)
     x = m.where(q < 0.02425, x_tail, x_mid)
+    if m is Spark:  # 1e-9 without the step, which as one Column would be a very large expression
+        return m.where(p < 0.5, x, -x)
     u = (special_ndtr(m, x) - q) * SQRT_2PI * m.exp(0.5 * x * x)
     x = x - u / (1.0 + 0.5 * x * u)
     return m.where(p < 0.5, x, -x)
 
 
 _SPECIAL = {"lgamma": special_lgamma, "digamma": special_digamma, "trigamma": special_trigamma, "ndtr": special_ndtr, "log_ndtr": special_log_ndtr, "ndtri": special_ndtri}
-ndtri = _unary("ndtri")
 _DERIVATIVES["ndtri"] = lambda x, e: SQRT_2PI * exp(0.5 * e * e)
 _SPARK = {"log": F.log, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "log1p": F.log1p, "expm1": F.expm1, "asinh": F.asinh, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "atan": F.atan, "sin": F.sin, "cos": F.cos, "floor": Spark.floor}
 _NUMPY = {"log": np.log, "exp": np.exp, "sqrt": np.sqrt, "abs": np.abs, "log1p": np.log1p, "expm1": np.expm1, "asinh": np.arcsinh, "sinh": np.sinh, "cosh": np.cosh, "tanh": np.tanh, "atan": np.arctan, "sin": np.sin, "cos": np.cos, "floor": np.floor}

@@ -110,8 +110,12 @@ def nodes(expressions: list) -> int:
     return n
 
 
-def _finite(c: Column) -> Column:
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+#: Log density of a row that has none under the current coefficients: such a step is never accepted.
+IMPOSSIBLE = -1e12
+
+
+def _finite(c: Column, other: float = 0.0) -> Column:
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), other).otherwise(c)
 
 
 class Data:
@@ -177,7 +181,7 @@ class Data:
         values = {f"eta_{p}": F.col(f"eta_{p}") for p in self.params} | {"y": F.col("y"), **{f: F.col(f) for f in self.family.fixed}}
         memo: dict = {}
         pairs = [(p, q) for i, p in enumerate(which) for q in which[i:]]
-        cols = [_finite(to_column(self.e, values, memo)).alias("ll")]
+        cols = [_finite(to_column(self.e, values, memo), IMPOSSIBLE).alias("ll")]
         cols += [_finite(to_column(self.u[p], values, memo)).alias(f"u_{p}") for p in which]
         cols += [_finite(-to_column(self.h[(p, q)], values, memo)).alias(f"h_{p}_{q}") for p, q in pairs]
         row = eta.select("w", *[f"x{i}" for i in range(self.k)], *[f"eta_{p}" for p in self.params], *cols)
@@ -276,7 +280,7 @@ def numpy_sums(family, e, u, h, params, which, working, col, xs, beta) -> np.nda
         zz = float((w * dh[(p, p)] * (eta[p] + du[p] / dh[(p, p)]) ** 2).sum())
     score = np.concatenate([xs[p].T @ (w * du[p]) for p in which])
     info = np.block([[xs[p].T @ ((w * (dh[(p, q)] if (p, q) in dh else dh[(q, p)]))[:, None] * xs[q]) for q in which] for p in which])
-    return np.concatenate(([float((w * clean(ll)).sum()), zz], score, info.ravel()))
+    return np.concatenate(([float((w * np.where(np.isfinite(ll), ll, IMPOSSIBLE)).sum()), zz], score, info.ravel()))
 
 
 class LocalData:
