@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -59,10 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.made}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
+def written(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors. batch: see batches_of."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -77,12 +80,30 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, rather than when the driver next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if its counted rows are few; a shuffle join otherwise."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows <= most else df
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While it is open, jobs that start send at most so many rows to Python at once: rows of long texts or whole blocks are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -45,20 +45,33 @@ def features(flat: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 CHUNK = 4096
+#: Words whose features are in memory at once, but for a single longer text.
+SLICE = 250_000
+
+
+def slices(lists: pa.ListArray):
+    """(first, last, words, offsets) of runs of texts of at most SLICE words in all."""
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, side="right")) - 1)
+        yield first, last, flat, at[first : last + 1]
+        first = last
 
 
 def counter(bits: int):
     """Arrow batches (good, h) to (chunk, raw, good, bad): lists of counts of CHUNK buckets each; good is null where no label is."""
     def run(batches):
-        n = np.zeros((3, 1 << bits), np.int64)
+        n = np.zeros((3, 1 << bits), np.int32)  # of one partition
         for batch in batches:
-            lists = batch.column(1)
-            ids, doc = features(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), bits)
-            label = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)[doc]
-            for row, part in zip(n, (ids, ids[label == 1], ids[label == 0]), strict=True):
-                row += np.bincount(part, minlength=1 << bits)
+            labels = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            for first, _, flat, at in slices(batch.column(1)):
+                ids, doc = features(flat, at, bits)
+                label = labels[first + doc]
+                for row, part in zip(n, (ids, ids[label == 1], ids[label == 0]), strict=True):
+                    np.add.at(row, part, 1)
         for i in range(0, 1 << bits, CHUNK * 16):
-            part = [np.ascontiguousarray(row[i : i + CHUNK * 16]) for row in n]
+            part = [row[i : i + CHUNK * 16].astype(np.int64) for row in n]
             if part[0].any():
                 at = np.arange(0, len(part[0]) + 1, CHUNK, dtype=np.int32)
                 yield pa.record_batch([pa.array(np.arange(i // CHUNK, i // CHUNK + len(at) - 1), pa.int64()), *[pa.ListArray.from_arrays(at, x) for x in part]], ["chunk", "raw", "good", "bad"])
@@ -88,9 +101,11 @@ def scorer(at: np.ndarray, value: np.ndarray, bits: int):
         ratio = np.zeros(1 << bits)
         ratio[at] = value
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            ids, doc = features(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), bits)
-            score = np.bincount(doc, ratio[ids], len(lists)) if len(ids) else np.zeros(len(lists))
+            score = np.zeros(batch.num_rows)
+            for first, last, flat, edges in slices(batch.column(batch.num_columns - 1)):
+                ids, doc = features(flat, edges, bits)
+                if len(ids):
+                    score[first:last] = np.bincount(doc, ratio[ids], last - first)
             yield pa.record_batch([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "log_ratio"])
 
     return run
@@ -137,10 +152,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     with_label = d.join(small(lab, n_lab), F.col("id") == F.col("lab_id"), "left")
     counted = with_label.select("good", hashes.alias("h")).mapInArrow(counter(bits), "chunk long, raw array<long>, good array<long>, bad array<long>").repartition("chunk")
     counted = counted.select("chunk", F.posexplode(F.arrays_zip("raw", "good", "bad")).alias("at", "x")).select((F.col("chunk") * CHUNK + F.col("at")).alias("bucket"), "x.*")
-    counts = written(counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("raw", "good", "bad")]), "counts")
+    counts = written(counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("raw", "good", "bad")]), "counts", 1000)
     found = ratios(counts).toArrow()  # 2 ** bits rows at most
     at, value = found["bucket"].to_numpy(), found["ratio"].to_numpy()
-    scored = written(d.select("id", hashes.alias("h")).mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, log_ratio double"), "scored")
+    scored = written(d.select("id", hashes.alias("h")).mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, log_ratio double"), "scored", 1000)
     # the limit that tells the labelled rows apart best; at most max_labelled of them
     known = scored.join(small(lab, n_lab), F.col("id") == F.col("lab_id")).select("log_ratio", "good").toArrow()
     x, y = known["log_ratio"].to_numpy(), known["good"].to_numpy()
