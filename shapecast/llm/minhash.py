@@ -1,7 +1,8 @@
 """MinHash near-dedup: universal hash minima in bands, signatures, full sets, connected components.
 
 Texts with the same shingle set are one node, so that copies never meet in a bucket. Every bucket of a band is compared as
-a star around its smallest node. In buckets that still hold several components afterwards, the pairs across components are
+a star around its smallest node, and where it still holds several components then, as one around the node with many
+shingles in common with others and few of its own. In buckets that still hold several afterwards, the pairs across components are
 compared that the star left out, but for those that can't be links: the shingles that a text shares with others bound the
 intersection, and so the sizes that a partner may have. A pair passes size, signature and at last full-set comparison
 before it is a link.
@@ -18,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, words_white, written
+from .common import components, small, words_white, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,22 +103,21 @@ def alike_signatures(least: float):
     return run
 
 
-def alike_sets(k: int, percent: int):
-    """Keeps the pairs (a, b, h_a, h_b) with 100 * intersection >= percent * union of the full sets."""
+def compare_sets(k: int, percent: int):
+    """(a, b, h_a, h_b) to (a, b, inter, link): the full sets' intersection, and 100 * intersection >= percent * union."""
     def run(batches):
         for batch in batches:
-            keep, last, x = [], None, None
+            inter, link, last, x = [], [], None, None
             ids = batch.column(0).to_pylist()
             (oa, fa), (ob, fb) = ((c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(2), batch.column(3)))
             for i in range(batch.num_rows):
                 if ids[i] != last:
                     x, last = shingle_set(fa[oa[i] : oa[i + 1]], k), ids[i]
-                y = shingle_set(fb[ob[i] : ob[i + 1]], k)
-                both = np.concatenate((x, y))
+                both = np.concatenate((x, shingle_set(fb[ob[i] : ob[i + 1]], k)))
                 both.sort()
-                inter = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                inter.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                link.append(100 * inter[-1] >= percent * (len(both) - inter[-1]))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(link, pa.bool_())], ["a", "b", "inter", "link"])
 
     return run
 
@@ -135,45 +135,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashes = lambda c: F.transform(words_white(c), lambda w: F.xxhash64(w))
-    signed = written(d.select("id", hashes(F.col("text")).alias("h")).mapInArrow(signer(shingle, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"), "signatures")
+    signed = written(d.select("id", hashes(F.col("text")).alias("h")).mapInArrow(signer(shingle, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"), "signatures", 1000)
     nodes = written(signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("x")).select("digest", "x.*"), "nodes")
     members = nodes.select("id", F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
-    grouped = written(members.join(centres, "key").select("key", "c", "id"), "buckets")
+    centres = written(members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"), "centres")
+    grouped = written(members.join(small(centres), "key").select("key", "c", "id"), "buckets")
     stars = grouped.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
     deviation = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(alike_signatures(percent / 100 - 5 * deviation), "a long, b long"), "near")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        texts = written(d.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        full = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(full.select("a", "b", hashes(F.col("text_a")).alias("h_a"), hashes(F.col("text_b")).alias("h_b")).mapInArrow(alike_sets(shingle, percent), "a long, b long"), "links")
+        near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(alike_signatures(percent / 100 - 5 * deviation), "a long, b long"), "near", 5000)
+        return compared(near).where("link").select("a", "b")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        texts = written(d.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
+        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        return written(full.select("a", "b", hashes(F.col("text_a")).alias("h_a"), hashes(F.col("text_b")).alias("h_b")).mapInArrow(compare_sets(shingle, percent), "a long, b long, inter long, link boolean"), "links", 200)
+
+    def spread(buckets: DataFrame, of: DataFrame) -> DataFrame:
+        """The buckets that hold several components, with their nodes' components."""
+        held = buckets.join(of.withColumnRenamed("node", "id"), "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("component"))
+        mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("key")
+        return written(held.join(small(written(mixed, "mixed")), "key", "left_semi"), "spread")
 
     links = confirmed(stars)
     of = written(components(links), "components")
     # what the stars left out: pairs across components in buckets that hold several
-    held = grouped.join(of.withColumnRenamed("node", "id"), "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y and m > 2").select("key")
-    held = written(held.join(mixed, "key", "left_semi"), "mixed")
+    held = spread(grouped, of)
     if not held.isEmpty():
-        ids = held.select("id").distinct()
+        ids = written(held.select("id").distinct(), "ids")
         # a shingle that no other node of these buckets has can't be in an intersection
-        sets = d.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", hashes(F.col("text")).alias("h")).mapInArrow(shingles(shingle), "id long, s array<long>")
+        sets = d.join(small(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", hashes(F.col("text")).alias("h")).mapInArrow(shingles(shingle), "id long, s array<long>")
         lone = sets.select("id", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count("*").alias("lone"))
         t = percent / 100
-        able = nodes.select("id", "n").join(ids, "id", "left_semi").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-        able = able.withColumn("most", F.floor(F.col("common") / t + F.col("common") - F.col("n") + 1e-9)).where("most >= floor(n * %r)" % t)
-        held = written(held.where("id <> c").join(able, "id"), "able")
+        lone = written(lone, "lone", 500)
+        able = nodes.select("id", "n").join(small(ids), "id", "left_semi").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+        able = written(able.withColumn("most", F.floor(F.col("common") / t + F.col("common") - F.col("n") + 1e-9)).where(F.col("most") >= F.floor(F.col("n") * t)), "able")
+        # once more a star each, around the node with many shingles in common and few of its own: the likely source of the others
+        held = written(held.join(small(able), "id"), "held")
+        best = written(held.groupBy("key").agg(F.max(F.struct(F.col("common") * F.col("common") / F.col("n"), -F.col("id"))).alias("x"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", (-F.col("x.col2")).alias("best")), "best")
+        near = written(held.join(small(best), "key").where("id <> best").select(F.col("best").alias("a"), F.col("id").alias("b")).distinct(), "again")
+        near = compared(near)
+        links = links.union(near.where("link").select("a", "b"))
+        of = written(components(links), "components")
+        # inside: shingles in common with the star's centre; outside: at most so many in common with others besides
+        inside = near.select(F.col("a").alias("best"), F.col("b").alias("id"), "inter")
+        held = spread(held.join(small(best), "key").where("id <> c and id <> best").select("key", "id", "c"), of).join(small(able), "id").join(small(best), "key").join(inside, ["best", "id"], "left")
+        held = written(held.withColumn("inside", F.coalesce("inter", "common")).withColumn("outside", F.coalesce(F.col("common") - F.col("inter"), "common")), "held")
         most = held.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", "m").alias("largest"))
         grade = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
         low, high = F.ceil(F.col("na") * t - 1e-9), F.least("most_a", F.floor(F.col("na") / t + 1e-9))
-        fewer = held.join(most, "key").where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("most_a"))
+        fewer = held.join(most, "key").where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("inside").alias("in_a"), F.col("outside").alias("out_a"))
         fewer = fewer.where(high >= low).withColumn("grade", F.explode(F.sequence(grade(low), grade(high))))
-        others = held.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("most_b"), grade(F.col("n")).alias("grade"))
-        rest = fewer.join(others, ["key", "grade"]).where("ca <> cb and nb <= most_a and na <= most_b")
+        others = held.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("most_b"), F.col("inside").alias("in_b"), F.col("outside").alias("out_b"), grade(F.col("n")).alias("grade"))
+        rest = fewer.join(others, ["key", "grade"]).where(f"ca <> cb and nb <= most_a and na <= most_b and (least(in_a, in_b) + least(out_a, out_b)) * {100 + percent} >= {percent} * (na + nb)")
         rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
         if not rest.isEmpty():
             links = links.union(confirmed(rest))
