@@ -18,7 +18,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, partitions, words_white, written
+from .common import batches_of, forget, partitions, released, words_white, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -244,22 +244,37 @@ def rows_of(batch: pa.RecordBatch):
         yield row
 
 
+def six(x: np.ndarray) -> bytes:
+    """The lower 48 bits of hashes: enough to tell the words after one context in one bucket apart."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+REQUEST = ["bucket", "block", "n_entries", "n_pairs", "contexts", "runs", "words", "counts", "totals"]
+
+
 def pair_requests(train_docs: int, heavy: np.ndarray, bits: int, cutoff: int):
-    """Blocks with their words' totals to (bucket, block, contexts, runs, words, counts, totals), and one row of pairs that can't be kept (bucket -1)."""
+    """Blocks with their words' totals to REQUEST rows, and one row (bucket -1, n_pairs) of how many pairs can't be kept."""
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
                 p = Pairs(row, row["totals"], train_docs, heavy, bits, cutoff)
                 buckets, first = np.unique(p.entry_bucket, return_index=True)
-                entries = np.diff(np.append(first, len(p.entries)))
-                pairs = np.add.reduceat(p.runs, first) if len(first) else np.array([], np.int64)
-                contexts, words = p.hashes.view(np.int64)[p.entry_context], p.hashes.view(np.int64)[p.word[p.asked]]
-                one = np.array([p.singles])
-                put = lambda x, n: lists([*split(x, n), one], pa.int64()) if len(buckets) else lists([one], pa.int64())
-                yield pa.record_batch([
-                    pa.array([*buckets, -1], pa.int64()), pa.array([row["block"]] * (len(buckets) + 1), pa.int64()), put(contexts, entries), put(p.runs, entries),
-                    put(words, pairs), put(p.count[p.asked], pairs), put(p.total[p.word[p.asked]], pairs),
-                ], ["bucket", "block", "contexts", "runs", "words", "counts", "totals"])
+                contexts, words = p.hashes[p.entry_context], p.hashes[p.word[p.asked]]
+                counts, totals = p.count[p.asked].astype(np.uint32), p.total[p.word[p.asked]]
+                edges, ends, at = np.append(first, len(p.entries)), np.concatenate(([0], np.cumsum(p.runs))), []
+                for k, bucket in enumerate(buckets):
+                    i, j = edges[k], edges[k + 1]
+                    u, v = ends[i], ends[j]
+                    at.append((bucket, row["block"], j - i, v - u, contexts[i:j].tobytes(), packed(p.runs[i:j].astype(np.uint32)), six(words[u:v]), packed(counts[u:v]), packed(totals[u:v])))
+                at.append((-1, row["block"], 0, p.singles, b"", b"", b"", b"", b""))
+                kinds = [pa.int64()] * 4 + [pa.binary()] * 5
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*at, strict=True), kinds, strict=True)], REQUEST)
 
     return run
 
@@ -267,15 +282,22 @@ def pair_requests(train_docs: int, heavy: np.ndarray, bits: int, cutoff: int):
 def pair_answers(uni: Unigrams, heavy: np.ndarray, cutoff: int):
     """A bucket's requests to answers (block, bucket, counts, few, many, p1), and one row of its own (block -1) with its part of the model and of the heavy contexts."""
     width = GT + 1 - cutoff
+    names = ["block", "bucket", "counts", "few", "many", "p1", "contexts", "words", "stats"]
 
     def run(table):
-        blocks, bucket, (contexts, entries), (runs, _), (words, pairs), (counts, _), (totals, _) = columns(table, "block", "bucket", "contexts", "runs", "words", "counts", "totals")
+        rows = table.to_pylist()
         none, reals = np.array([], np.int64), np.array([], float)
-        if bucket[0] < 0:
-            stats = np.array([contexts.sum()] + [0] * GT)
-            return pa.table([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), *[lists([none], pa.int64())] * 3, lists([reals], pa.float64()), lists([none], pa.int64()), lists([none], pa.int64()), lists([stats], pa.int64())], names=["block", "bucket", "counts", "few", "many", "p1", "contexts", "words", "stats"])
-        context = np.repeat(contexts, runs).view(np.uint64)
-        _, first, place = np.unique(mixed(context, words.view(np.uint64)), return_index=True, return_inverse=True)
+        if rows[0]["bucket"] < 0:
+            stats = np.array([sum(x["n_pairs"] for x in rows)] + [0] * GT)
+            return pa.table([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), *[lists([none], pa.int64())] * 3, lists([reals], pa.float64()), lists([none], pa.int64()), lists([none], pa.int64()), lists([stats], pa.int64())], names=names)
+        entries, pairs = [x["n_entries"] for x in rows], [x["n_pairs"] for x in rows]
+        contexts = np.concatenate([np.frombuffer(x["contexts"], np.uint64) for x in rows])
+        runs = np.concatenate([unpacked(x["runs"], np.uint32, x["n_entries"]) for x in rows])
+        words = np.concatenate([unsix(x["words"]) for x in rows])
+        counts = np.concatenate([unpacked(x["counts"], np.uint32, x["n_pairs"]) for x in rows])
+        totals = np.concatenate([unpacked(x["totals"], np.int64, x["n_pairs"]) for x in rows])
+        context = np.repeat(contexts, runs)
+        _, first, place = np.unique(mixed(context, words), return_index=True, return_inverse=True)
         total = np.bincount(place, counts, len(first)).astype(np.int64)
         stats = np.bincount(np.minimum(total, GT + 2), minlength=GT + 3)[1 : GT + 2]
         kept = np.flatnonzero(total >= cutoff)
@@ -284,16 +306,15 @@ def pair_answers(uni: Unigrams, heavy: np.ndarray, cutoff: int):
         few = np.stack([np.bincount(c, t == r, len(own)) for r in range(cutoff, GT + 1)], axis=1).astype(np.int64).reshape(len(own), width)
         many = np.bincount(c, np.where(t > GT, t, 0), len(own)).astype(np.int64)
         p1 = np.bincount(c, uni(totals[first[kept]]), len(own))
-        at = np.minimum(np.searchsorted(own, contexts.view(np.uint64)), max(len(own) - 1, 0))
-        has = own[at] == contexts.view(np.uint64) if len(own) else np.zeros(len(contexts), bool)
+        at = np.minimum(np.searchsorted(own, contexts), max(len(own) - 1, 0))
+        has = own[at] == contexts if len(own) else np.zeros(len(contexts), bool)
         pick = lambda x: np.where(has.reshape((-1,) + (1,) * (x.ndim - 1)), x[at], 0) if len(own) else np.zeros((len(contexts), *x.shape[1:]), x.dtype)
         big = np.isin(own, heavy)
-        of = lambda x, n: split(x, n)
         return pa.table([
-            pa.array([*blocks, -1], pa.int64()), pa.array([*bucket, bucket[0]], pa.int64()), lists([*of(np.where(total >= cutoff, total, 0)[place], pairs), t], pa.int64()),
-            lists([*of(pick(few).ravel(), entries * width), few[big].ravel()], pa.int64()), lists([*of(pick(many), entries), many[big]], pa.int64()), lists([*of(pick(p1), entries), p1[big]], pa.float64()),
-            lists([none] * len(blocks) + [np.concatenate((own[big].view(np.int64), context[first[kept]].view(np.int64)))], pa.int64()), lists([none] * len(blocks) + [words[first[kept]]], pa.int64()), lists([none] * len(blocks) + [stats], pa.int64()),
-        ], names=["block", "bucket", "counts", "few", "many", "p1", "contexts", "words", "stats"])
+            pa.array([*(x["block"] for x in rows), -1], pa.int64()), pa.array([rows[0]["bucket"]] * (len(rows) + 1), pa.int64()), lists([*split(np.where(total >= cutoff, total, 0)[place], pairs), t], pa.int64()),
+            lists([*split(pick(few).ravel(), [n * width for n in entries]), few[big].ravel()], pa.int64()), lists([*split(pick(many), entries), many[big]], pa.int64()), lists([*split(pick(p1), entries), p1[big]], pa.float64()),
+            lists([none] * len(rows) + [np.concatenate((own[big].view(np.int64), context[first[kept]].view(np.int64)))], pa.int64()), lists([none] * len(rows) + [words[first[kept]].view(np.int64)], pa.int64()), lists([none] * len(rows) + [stats], pa.int64()),
+        ], names=names)
 
     return run
 
@@ -334,7 +355,7 @@ def bits_for(items: int, each: int) -> int:
     return max(0, int(np.ceil(np.log2(max(items, 1) / each))))
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", cutoff: int = 2, block_tokens: int = 4_000_000, model_path: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", cutoff: int = 2, block_tokens: int = 750_000, model_path: str | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased runs without white space and one end. The model learns from the rows where train is true; the
@@ -356,11 +377,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     name = f"katz_blocks_{uuid.uuid4().hex}"
     n_parts = partitions(spark)
     # by block in the warehouse, so that answers come to the blocks and not the other way round
-    made.write.bucketBy(n_parts, "block").saveAsTable(name)
+    with batches_of(spark, 1000):
+        made.write.bucketBy(n_parts, "block").saveAsTable(name)
     blocks = spark.table(name)
     tokens, train_docs, n_words = (x or 0 for x in blocks.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum(F.size("words"))).first())
     asked = blocks.select("block", "words", "counts").mapInArrow(word_requests(bits_for(n_words, 250_000)), "bucket long, block long, words array<long>, counts array<long>")
-    words = written(asked.groupBy("bucket").applyInArrow(word_answers(tokens // HEAVY), "block long, bucket long, totals array<long>, words array<long>, heavy array<long>, stats array<long>"), "katzwords")
+    words = written(asked.groupBy("bucket").applyInArrow(word_answers(tokens // HEAVY), "block long, bucket long, totals array<long>, words array<long>, heavy array<long>, stats array<long>"), "katzwords", 1)
+    del asked
+    released(spark)
     own = words.where("block < 0")
     stats = [r["s"] for r in own.select(F.posexplode("stats").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()] or [0] * (GT + 2)
     types, uni = stats[0], Unigrams(np.array([0, *stats[1:]]), tokens)
@@ -377,8 +401,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     ready = known.select("block", "train", "sizes", "tokens", "words", "totals")
     bits = bits_for(n_words * 4, 500_000)
     form = "block long, bucket long, counts array<long>, few array<long>, many array<long>, p1 array<double>, contexts array<long>, words array<long>, stats array<long>"
-    pairs = ready.mapInArrow(pair_requests(train_docs, heavy, bits, cutoff), "bucket long, block long, contexts array<long>, runs array<long>, words array<long>, counts array<long>, totals array<long>")
-    pairs = written(pairs.groupBy("bucket").applyInArrow(pair_answers(uni, heavy, cutoff), form), "katzpairs")
+    pairs = ready.mapInArrow(pair_requests(train_docs, heavy, bits, cutoff), "bucket long, block long, n_entries long, n_pairs long, contexts binary, runs binary, words binary, counts binary, totals binary")
+    pairs = written(pairs.groupBy("bucket").applyInArrow(pair_answers(uni, heavy, cutoff), form), "katzpairs", 1)
+    released(spark)
     own = pairs.where("block < 0")
     n = [r["s"] for r in own.select(F.posexplode("stats").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()] or [0] * (GT + 1)
     d = good_turing(np.array([0, *n]))
@@ -397,7 +422,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     full = known.join(told(pairs.withColumnRenamed("counts", "pair_counts"), "pair_counts", "few", "many", "p1"), "block", "left")
     none = F.array().cast("array<long>")
     full = full.select("block", "ids", "train", "sizes", "tokens", "words", "totals", *[F.coalesce(c, none).alias(c) for c in ("pair_counts", "few", "many")], F.coalesce("p1", F.array().cast("array<double>")).alias("p1"))
-    out = written(full.mapInArrow(scores(uni, tokens, types, train_docs, sums, d, bits, cutoff, arrow_id), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katzscores")
+    out = written(full.mapInArrow(scores(uni, tokens, types, train_docs, sums, d, bits, cutoff, arrow_id), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katzscores", 1)
     spark.sql(f"DROP TABLE {name}")
     forget(words), forget(pairs)
     return out.withColumnRenamed("id", id_col)
