@@ -185,6 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = near.select(F.col("a").alias("best"), F.col("b").alias("id"), "inter")
         held = spread(held.join(small(best), "key").where("id <> c and id <> best").select("key", "id", "c"), of).join(small(able), "id").join(small(best), "key").join(inside, ["best", "id"], "left")
         held = written(held.withColumn("inside", F.coalesce("inter", "common")).withColumn("outside", F.coalesce(F.col("common") - F.col("inter"), "common")), "held")
+        # nodes that meet in many buckets meet once around their star's centre, which all of a bucket share
+        held = held.select(F.col("best").alias("key"), *[c for c in held.columns if c not in ("key", "best", "c", "inter")]).distinct()
         most = held.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", "m").alias("largest"))
         grade = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
         low, high = F.ceil(F.col("na") * t - 1e-9), F.least("most_a", F.floor(F.col("na") / t + 1e-9))
