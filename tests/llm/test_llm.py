@@ -260,6 +260,21 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_fuzzy_recall(spark):
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(3000)]
+    rows, n = [], 150
+    for i in range(n):
+        w = list(rng.choice(vocab, rng.integers(12, 20)))
+        k = max(range(len(w)), key=lambda j: (4 <= len(w[j]) <= 6, len(w[j])))
+        rows += [(i, " ".join(w)), (n + i, " ".join([*w[:k], "".join(rng.permutation(list("qwxyz"))), *w[k + 1 :]]))]
+    out = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i]["n_dropped"] for i in range(n)) == 0 and sum(out[n + i]["n_dropped"] for i in range(n)) >= 0.97 * n
+    long = "the committee considered several alternative proposals before finally reaching a unanimous decision yesterday evening in the large hall"
+    df = spark.createDataFrame([(1, long), (2, long.replace("yesterday", "yesterdays"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in dedup_lines(df).collect()} == {1: 0, 2: 1}
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
