@@ -275,6 +275,12 @@ def test_line_dedup_fuzzy_recall(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in dedup_lines(df).collect()} == {1: 0, 2: 1}
 
 
+def test_line_dedup_normalises(spark):
+    texts = ['Printed on 2024-01-05 at 10:31, page 7 of 12', 'printed on  2023-11-30 at 09:02, "page 3" of 45', "-" * 30, "=" * 30, "-" * 30]
+    out = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
