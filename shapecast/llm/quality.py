@@ -79,34 +79,45 @@ def counter(bits: int):
     return run
 
 
-def ratios(counts: DataFrame, a: float = 0.5, evidence: float = 24.0, factor: float = 4.0) -> DataFrame:
-    """(bucket, ratio) of the buckets with a log ratio of target to raw probability other than 0.
+def ratios(counts: DataFrame, a: float = 0.5, evidence: float = 24.0) -> DataFrame:
+    """(bucket, ratio, not_good, not_bad) of the buckets of labelled rows: log ratios of target to raw probability, shrunk by their evidence.
 
-    A bucket's ratio is 0 where the labelled rows don't show a difference. evidence: least G statistic (likelihood ratio,
-    chi square with one degree) of the labelled counts. It keeps rare n-grams, whose ratios are chance, from adding up in
-    long texts. The ratio has to point the same way as the labels and be a factor of four at least.
+    A ratio is multiplied by the square of g / (g + evidence). g: G statistic (likelihood ratio, chi square with one degree) of the
+    labelled counts. So rare n-grams, whose ratios are chance, count little each in long texts, and nothing is cut off.
+    not_good, not_bad: the same without one good or bad row of those counted.
     """
     n_raw, n_good, n_bad = (max(x or 0, 1) for x in counts.agg(F.sum("raw"), F.sum("good"), F.sum("bad")).first())
-    both = F.col("good") + F.col("bad")
-    part = lambda n, e: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / e)).otherwise(0.0)
-    g = 2 * (part("good", both * n_good / (n_good + n_bad)) + part("bad", both * n_bad / (n_good + n_bad)))
-    ratio = F.log((F.col("good") + a) / (F.col("raw") * (n_good / n_raw) + a))
-    contrast = F.signum(F.col("good") / n_good - F.col("bad") / n_bad)
-    return counts.where(both > 0).select("bucket", ratio.alias("ratio"), g.alias("g"), contrast.alias("sign")).where((F.col("g") >= evidence) & (F.signum("ratio") == F.col("sign")) & (F.abs("ratio") >= float(np.log(factor)))).select("bucket", "ratio")
+
+    def shrunk(raw, good, bad):
+        both = good + bad
+        part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
+        g = F.greatest(F.lit(0.0), 2 * (part(good, both * n_good / (n_good + n_bad)) + part(bad, both * n_bad / (n_good + n_bad))))
+        return (F.log((good + a) / (raw * (n_good / n_raw) + a)) * F.pow(g / (g + evidence), F.lit(2.0))).cast("float")
+
+    less = lambda x: F.greatest(x - 1, F.lit(0))
+    raw, good, bad = F.col("raw"), F.col("good"), F.col("bad")
+    return counts.where(good + bad > 0).select("bucket", shrunk(raw, good, bad).alias("ratio"), shrunk(less(raw), less(good), bad).alias("not_good"), shrunk(less(raw), good, less(bad)).alias("not_bad"))
 
 
 def scorer(at: np.ndarray, value: np.ndarray, bits: int):
-    """Arrow batches (id, source columns..., h) to the same with the log ratio in place of h. at, value: the ratios other than 0."""
+    """Arrow batches (id, good, h) to (id, good, log_ratio, apart). at, value: buckets and their ratio, not_good, not_bad.
+
+    apart: a labelled row's log ratio by the ratios without that row.
+    """
     def run(batches):
-        ratio = np.zeros(1 << bits)
-        ratio[at] = value
+        ratio = np.zeros((3, 1 << bits), np.float32)
+        ratio[:, at] = value
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for first, last, flat, edges in slices(batch.column(batch.num_columns - 1)):
+            labels = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            score, apart = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for first, last, flat, edges in slices(batch.column(2)):
                 ids, doc = features(flat, edges, bits)
                 if len(ids):
-                    score[first:last] = np.bincount(doc, ratio[ids], last - first)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "log_ratio"])
+                    score[first:last] = np.bincount(doc, ratio[0, ids], last - first)
+                    mine = labels[first + doc]
+                    known = mine >= 0
+                    apart[first:last] = np.bincount(doc[known], ratio[2 - mine[known], ids[known]], last - first)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(apart, pa.float64())], ["id", "good", "log_ratio", "apart"])
 
     return run
 
@@ -135,7 +146,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels: (id, quality, toxic); good is quality 1 and not toxic, a null toxic counts as 0, a null quality as no label; of
     several labels of a document the worst holds. The models are fitted on at most max_labelled labels, those with the
     smallest hashes; the raw model's counts cover every document. accepted: the ratio reaches a limit under which the most
-    labelled rows are told apart, each kind weighing the same. kept: accepted and, if keep is given, among so many largest
+    labelled rows are told apart, each scored by ratios without it; rejecting a good one costs twice. kept: accepted and, if keep is given, among so many largest
     log_ratio + Gumbel noise (ties at the last place are all kept); the noise is a hash of the id, so reruns agree. A null
     or empty text has ratio 0. Without labels of both kinds everything is accepted. Repeated rows stay repeated. Other
     columns are not looked at. The fitted vectors have 2 ** bits entries whatever the input.
@@ -154,11 +165,11 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     counted = counted.select("chunk", F.posexplode(F.arrays_zip("raw", "good", "bad")).alias("at", "x")).select((F.col("chunk") * CHUNK + F.col("at")).alias("bucket"), "x.*")
     counts = written(counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("raw", "good", "bad")]), "counts", 1000)
     found = ratios(counts).toArrow()  # 2 ** bits rows at most
-    at, value = found["bucket"].to_numpy(), found["ratio"].to_numpy()
-    scored = written(d.select("id", hashes.alias("h")).mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, log_ratio double"), "scored", 1000)
-    # the limit that tells the labelled rows apart best; at most max_labelled of them
-    known = scored.join(small(lab, n_lab), F.col("id") == F.col("lab_id")).select("log_ratio", "good").toArrow()
-    x, y = known["log_ratio"].to_numpy(), known["good"].to_numpy()
+    at, value = found["bucket"].to_numpy(), np.stack([found[x].to_numpy() for x in ("ratio", "not_good", "not_bad")])
+    scored = written(with_label.select("id", "good", hashes.alias("h")).mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, good int, log_ratio double, apart double"), "scored", 1000)
+    # the limit that tells the labelled rows apart best, each scored without itself; at most max_labelled of them
+    known = scored.where("good is not null").select("apart", "good").toArrow()
+    x, y = known["apart"].to_numpy(), known["good"].to_numpy()
     limit = float("-inf")
     if len(y) and 0 < y.sum() < len(y):
         order = np.argsort(x, kind="stable")

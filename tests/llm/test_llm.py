@@ -219,6 +219,14 @@ def test_quality_finds_planted_words(spark):
     assert quality.resample(df, lab.limit(0)).where("not kept").count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_rejects_toxic_at_any_size(spark, size):
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    out = quality.resample(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"), labels).join(labels, "doc_id")
+    toxic, good = out.where("toxic = 1"), out.where("toxic = 0 and quality = 1")
+    assert toxic.where("not accepted").count() >= 0.85 * toxic.count() and good.where("accepted").count() >= 0.97 * good.count()
+
+
 def test_media_round_trip(spark, tmp_path):
     rows = make(2, 40)
     df = spark.createDataFrame(rows, SCHEMA)
