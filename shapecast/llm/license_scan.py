@@ -1,8 +1,8 @@
 """Licence scans with a generalised suffix automaton over the tokens of licence templates.
 
 A text streams through the automaton, which after each word knows the longest run of words, ending there, that some template
-holds (matching statistics). Runs that cannot be made longer are chained, template by template, where they follow one
-another in text and template; a chain that covers enough of its template is a span with the template's label.
+holds (matching statistics). Where such runs are, each template is matched by itself, since a run of one may be part of a
+longer one of another. Its runs that cannot be made longer are chained where they follow one another in text and template; a chain that covers enough of its template is a span with the template's label.
 """
 
 from __future__ import annotations
@@ -151,16 +151,32 @@ class Automaton:
         return done + [(t, *x[:3]) for t, x in open_.items()]
 
 
+def regions(runs) -> list[tuple[int, int]]:
+    """(start, end) of what the runs cover, those that overlap in one."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(runs):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def finder(phrases, templates, least: int, gap: int, cover: float):
     def run(batches):
         sam = Automaton([p.split() for p, _ in phrases] + [t.split() for _, t in templates], len(phrases))
-        labels = [x for _, x in phrases] + [x for x, _ in templates]
+        alone = [(label, Automaton([t.split()], 0)) for label, t in templates]
+        labels = [x for _, x in phrases]
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = words_of(text.as_py())
                 places, runs = sam.scan(words, least)
-                spans = [(labels[t], s, e, min(1.0, m / len(sam.lists[t]))) for t, s, e, m in sam.chains(runs, gap) if t >= len(phrases) and m >= cover * len(sam.lists[t])]
+                spans = []
+                for label, one in alone if runs else []:  # a run of all may hide a shorter one of one template
+                    size = len(one.lists[0])
+                    own = [(a + s, a + e, state) for a, b in regions(runs) for s, e, state in one.scan(words[a:b], least)[1]]
+                    spans += [(label, s, e, min(1.0, m / size)) for _, s, e, m in one.chains(own, gap) if m >= cover * size]
                 inside = sorted([(s, e) for _, s, e, _ in spans] + [(s, s + len(sam.lists[p])) for s, p in places])
                 covered = upto = 0
                 for s, e in inside:

@@ -200,6 +200,14 @@ def test_license_scan(spark):
     assert got[4]["n_base"] == 2 and got[2]["first_word"] is None and 0 < got[4]["score"] <= 1
 
 
+def test_license_scan_notice_that_another_template_continues(spark):
+    texts = ["Licensed under the Apache License, Version 2.0. The full text is elsewhere", "x the apache license version 2.0 the license y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    assert got[0]["labels"] == got[1]["labels"] == ["apache-2.0"]
+    assert ("apache-2.0", 0, 8, 1.0) in [tuple(x) for x in got[0]["spans"]] and got[0]["score"] > 0
+
+
 def test_quality_finds_planted_words(spark):
     rng = np.random.default_rng(0)
     rows, labels = [], []
