@@ -92,7 +92,7 @@ def predict_params_no(spark, sf):
 
 def predict_quantiles_logno(spark, sf):
     m = fit.gamlss("o_totalprice ~ 1", _t(spark, sf, "orders"), "LOGNO")
-    return predict.predict_quantiles(m, _t(spark, sf, "orders").limit(1), (0.5,)).select(F.round(F.log("q50"), 5).alias("log_median"))
+    return predict.predict_quantiles(m, _t(spark, sf, "orders"), (0.5,)).select(F.round(F.log("q50"), 5).alias("log_median")).distinct()
 
 
 def score_no(spark, sf):
@@ -236,9 +236,10 @@ def centile_check_logno(spark, sf):
 
 
 def bootstrap_exp(spark, sf):
-    from .operators.resample import group_bootstrap
+    from .operators.resample import nonparametric_bootstrap
 
-    return group_bootstrap(_t(spark, sf, "supplier").where("s_acctbal > 0"), "s_acctbal", "EXP", 16)
+    est = nonparametric_bootstrap("s_acctbal ~ 1", _t(spark, sf, "supplier").where("s_acctbal > 0"), "EXP", 200)["estimates"]
+    return spark.createDataFrame([(b, "mu", float(x[0])) for b, x in enumerate(est)], "boot long, parameter string, estimate double")
 
 
 QUERIES = {f.__name__: f for f in (fit_no_price, fit_no_rs, fit_no_factor, fit_exp_value, fit_po_quantity, fit_logno_total, fit_geom_lines, fit_bi_quality, gaic_rank, lr_nested, predict_params_no, predict_quantiles_logno, score_no, score_interval_lo, pit_histogram_lo, qq_ranks, acf_events, q_stats_intervals, cv_folds, ridge_price, gram_part, links_part, densities_part, cdfs_part, densities_gamma, gaic_weights_orders, bootstrap_counts, fit_groups_price, fit_smooth_price, fit_ga_total, fit_dist_acctbal, worm_no, summary_no, vuong_orders, centile_check_logno, bootstrap_exp)}
