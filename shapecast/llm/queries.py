@@ -36,7 +36,7 @@ def op4_katz(spark, sf_dir):
     from .katz import score_texts
 
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    return score_texts(_table(spark, sf_dir, "documents"), train)
+    return score_texts(_table(spark, sf_dir, "documents"), train, cutoff=1)
 
 
 def op5_mix(spark, sf_dir):

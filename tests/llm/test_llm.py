@@ -164,6 +164,31 @@ def test_katz_is_normalised_and_agrees_with_counting(spark):
     assert katz.score_texts(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_katz_query_keeps_pairs_seen_once(spark, monkeypatch):
+    from shapecast.llm import queries
+
+    rows = [(i, t) for i, (_, t, *_) in enumerate(make(6, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(queries, "_table", lambda *_: df)
+    got = {r["doc_id"]: r["score"] for r in queries.op4_katz(spark, "").collect()}
+    toks = {i: white(t) + ["</s>"] for i, t in rows}
+    c1, c2, cc = Counter(), Counter(), Counter()
+    for i, w in toks.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c1.update(w), c2.update(zip(["<s>", *w[:-1]], w, strict=True)), cc.update(["<s>", *w[:-1]])
+    hist = lambda c: [0] + [Counter(c.values())[r] for r in range(1, 7)]
+    d2, uni = katz.good_turing(hist(c2)), katz.Unigrams(np.array(hist(c1)), sum(c1.values()))
+    p1 = lambda w: float(uni(np.array([c1[w]]))[0])
+    kept = defaultdict(dict)
+    for (h, w), c in c2.items():
+        kept[h][w] = c * (d2[c] if c <= 5 else 1)
+    total = {h: cc[h] + (cc[h] - sum(k.values()) < 1e-9) for h, k in kept.items()}
+    alpha = {h: (1 - sum(k.values()) / total[h]) / (1 - sum(map(p1, k))) for h, k in kept.items()}
+    for i, w in toks.items():
+        s = sum(math.log10(kept[h][x] / total[h] if x in kept.get(h, ()) else alpha.get(h, 1.0) * p1(x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))
+        assert got[i] == pytest.approx(s, rel=1e-9)
+
+
 def test_mixing(docs):
     out = mix_sources(docs).toPandas()
     assert len(out) == docs.count() and (out.taken <= 2 * out["size"]).all()
