@@ -322,6 +322,17 @@ def test_line_dedup_normalises(spark):
     assert out == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_line_dedup_without_representatives(spark):
+    log = "measured " + " ".join(f"{x}{y}" for x in "abcde" for y in "fghij")
+    other = "measured " + " ".join(f"{x}{y}" for x in "klmno" for y in "pqrst")
+    short = "ab cd ef gh ij kl mn op qr st uv wx yz aa bb cc dd ee ff gg"
+    texts = [other, log, log.replace("cg", "zz"), other.replace("mq", "zz"), short, short.replace("mn", "m")]
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17000))
+    texts += [long, long.replace("wordabc", "changed")]
+    out = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1}
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
