@@ -20,6 +20,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 #: Rows up to which a table whose size was counted is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes that are sent to Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -61,10 +63,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.made}"
 
 
-def written(df: DataFrame, what: str, batch: int | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, batch: int = BATCH_BYTES) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors. batch: see batches_of."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    with batches_of(df.sparkSession, batch) if batch else contextlib.nullcontext():
+    with batches_of(df.sparkSession, batch):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -93,11 +95,11 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """While it is open, jobs that start send at most so many rows to Python at once: rows of long texts or whole blocks are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def batches_of(spark: SparkSession, size: int):
+    """While it is open, jobs that start send at most so many bytes to Python at once, but for a single larger row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(size))
     try:
         yield
     finally:
@@ -108,20 +110,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Scratch:
+    """Tables that an operator writes in the shared folder for itself."""
+
+    def __init__(self):
+        self.made = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.made.append(written(df, what))
+        return self.made[-1]
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        """df, written; all tables before it are deleted."""
+        out = written(df, what)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        while self.made:
+            forget(self.made.pop())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b): the smallest node reachable.
+    """(node, component) for the nodes of edges (a, b), as a written table: the smallest node reachable.
 
     Alternating large-star and small-star. Both turn the edges of a node into a star around its smallest neighbour,
     so an edge set never grows, and the rounds grow with the logarithm of the number of nodes. The neighbours of one
     node are never gathered: the smallest comes from a partial aggregation and a join back.
     """
-    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        least = written(least, "least")
+        least = put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         joined = both.join(least, "a")
         if large:  # each strictly larger neighbour hangs on the smallest
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -132,18 +153,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = state(now)
-    for _ in range(most_rounds):
-        large = written(star(now, True), "large")
-        new = written(star(large, False), "smallstar")
-        after = state(new)
-        forget(now), forget(large)
-        now = new
+    for _ in range(most_rounds if before[0] else 0):
+        put = Scratch()
+        put.made.append(now)
+        now = put.result(star(put(star(now, True), "large"), False), "smallstar")
+        after = state(now)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        if before[0]:
+            raise RuntimeError("the components did not settle")
+    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    forget(now)
+    return out

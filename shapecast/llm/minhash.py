@@ -19,16 +19,19 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, words_white, written
+from .common import Scratch, components, forget, small
+from .tokens import tokens
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Stands for a null id.
+NO_ID = (1 << 63) - 1
 MULT, FIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of k consecutive word hashes; of the whole sequence if it is shorter."""
-    w = words.view(np.uint64)
+    w = words
     if not len(w):
         return w
     k = min(k, len(w))
@@ -55,14 +58,13 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signer(k: int, bands: int, rows: int):
-    """Arrow batches (id, h) to (id, n, digest, bands, sig)."""
+    """Arrow batches (id, th, text) to (id, th, n, digest, bands, sig)."""
     def run(batches):
         a, b = universal(bands * rows)
         for batch in batches:
-            lists = batch.column(1)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            flat, at = tokens(batch.column(2))
             n, digest, keys, sig = [], [], [], []
-            for i in range(len(lists)):
+            for i in range(batch.num_rows):
                 s = shingle_set(flat[at[i] : at[i + 1]], k)
                 n.append(len(s))
                 if not len(s):
@@ -76,16 +78,16 @@ def signer(k: int, bands: int, rows: int):
                     h ^= h >> np.uint64(31)
                 keys.append(h.view(np.int64))
                 sig.append((m & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "n", "digest", "bands", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "th", "n", "digest", "bands", "sig"])
 
     return run
 
 
 def shingles(k: int):
-    """Arrow batches (id, h) to (id, s): the shingle sets."""
+    """Arrow batches (id, text) to (id, s): the shingle sets."""
     def run(batches):
         for batch in batches:
-            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
+            flat, at = tokens(batch.column(1))
             sets = [shingle_set(flat[at[i] : at[i + 1]], k).view(np.int64) for i in range(batch.num_rows)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
@@ -104,12 +106,12 @@ def alike_signatures(least: float):
 
 
 def compare_sets(k: int, percent: int):
-    """(a, b, h_a, h_b) to (a, b, inter, link): the full sets' intersection, and 100 * intersection >= percent * union."""
+    """(a, b, text_a, text_b) to (a, b, inter, link): the full sets' intersection, and 100 * intersection >= percent * union."""
     def run(batches):
         for batch in batches:
             inter, link, last, x = [], [], None, None
             ids = batch.column(0).to_pylist()
-            (oa, fa), (ob, fb) = ((c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(2), batch.column(3)))
+            (fa, oa), (fb, ob) = tokens(batch.column(2)), tokens(batch.column(3))
             for i in range(batch.num_rows):
                 if ids[i] != last:
                     x, last = shingle_set(fa[oa[i] : oa[i + 1]], k), ids[i]
@@ -129,62 +131,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null text has none and is linked with nothing. Links: 100 * intersection >= percent * union of the full sets. With 32
     bands of 5 minima a pair at 0.8 shares no bucket with a probability of about 3e-6. Signatures only rule out pairs that
     lie five standard deviations under the limit. No bucket is cut off: a large one costs one comparison per node, and
-    only pairs across components that sizes and shared shingles allow are compared besides. Documents with a null id keep a null component and aren't
-    kept, though their texts may link others' copies. Repeated rows share component and decision. Other columns are not
-    looked at. The ids must be integers.
+    only pairs across components that sizes and shared shingles allow are compared besides. Documents with a null id keep
+    a null component and aren't kept, though their texts link others' copies. Repeated rows share component and decision;
+    rows that repeat an id with another text are judged each by its own text. A text of any length is one row of the
+    comparisons, and fits in a task's memory. An empty table gives no rows. Other columns are not looked at. The ids must be
+    integers under 2 ** 63 - 1.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashes = lambda c: F.transform(words_white(c), lambda w: F.xxhash64(w))
-    signed = written(d.select("id", hashes(F.col("text")).alias("h")).mapInArrow(signer(shingle, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"), "signatures", 1000)
-    nodes = written(signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("x")).select("digest", "x.*"), "nodes")
+    put = Scratch()
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    signed = put(d.mapInArrow(signer(shingle, bands, rows), "own long, th long, n long, digest binary, bands array<long>, sig binary"), "signatures")
+    nodes = put(signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("own", "th", "n", "bands", "sig")).alias("x")).select("digest", "x.*"), "nodes")
+    # a node's number is its id, or a hash where other nodes have the same
+    twice = put(nodes.where(F.col("own") != NO_ID).groupBy("own").agg(F.count("*").alias("m")).where("m > 1"), "twice")
+    nodes = nodes.join(small(twice), "own", "left").withColumn("id", F.when((F.col("own") == NO_ID) | F.col("m").isNotNull(), F.xxhash64("own", "digest")).otherwise(F.col("own"))).drop("m")
     members = nodes.select("id", F.explode("bands").alias("key"))
-    centres = written(members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"), "centres")
-    grouped = written(members.join(small(centres), "key").select("key", "c", "id"), "buckets")
+    centres = put(members.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"), "centres")
+    grouped = put(members.join(small(centres), "key").select("key", "c", "id"), "buckets")
     stars = grouped.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
     deviation = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
 
+    def found(links: DataFrame) -> DataFrame:
+        put.made.append(components(links))
+        return put.made[-1]
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        near = written(near.select("a", "b", "sig_a", "sig_b").mapInArrow(alike_signatures(percent / 100 - 5 * deviation), "a long, b long"), "near", 5000)
+        near = put(near.select("a", "b", "sig_a", "sig_b").mapInArrow(alike_signatures(percent / 100 - 5 * deviation), "a long, b long"), "near")
         return compared(near).where("link").select("a", "b")
 
+    def texts(ids: DataFrame) -> DataFrame:
+        """(id, text) of these nodes."""
+        need = put(nodes.join(small(ids), "id", "left_semi").select("id", "own", "th"), "need")
+        return d.join(small(need), ["own", "th"]).select("id", "text").dropDuplicates(["id"])
+
     def compared(pairs: DataFrame) -> DataFrame:
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        texts = written(d.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "texts")
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(full.select("a", "b", hashes(F.col("text_a")).alias("h_a"), hashes(F.col("text_b")).alias("h_b")).mapInArrow(compare_sets(shingle, percent), "a long, b long, inter long, link boolean"), "links", 200)
+        text = put(texts(put(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")), "texts")
+        full = pairs.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b")
+        out = put(full.select("a", "b", "text_a", "text_b").mapInArrow(compare_sets(shingle, percent), "a long, b long, inter long, link boolean"), "links")
+        forget(text)
+        return out
 
     def spread(buckets: DataFrame, of: DataFrame) -> DataFrame:
         """The buckets that hold several components, with their nodes' components."""
         held = buckets.join(of.withColumnRenamed("node", "id"), "id", "left").select("key", "c", "id", F.coalesce("component", "id").alias("component"))
         mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("key")
-        return written(held.join(small(written(mixed, "mixed")), "key", "left_semi"), "spread")
+        return put(held.join(small(put(mixed, "mixed")), "key", "left_semi"), "spread")
 
     links = confirmed(stars)
-    of = written(components(links), "components")
+    of = found(links)
     # what the stars left out: pairs across components in buckets that hold several
     held = spread(grouped, of)
     if not held.isEmpty():
-        ids = written(held.select("id").distinct(), "ids")
+        ids = put(held.select("id").distinct(), "ids")
         # a shingle that no other node of these buckets has can't be in an intersection
-        sets = d.join(small(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", hashes(F.col("text")).alias("h")).mapInArrow(shingles(shingle), "id long, s array<long>")
+        sets = texts(ids).mapInArrow(shingles(shingle), "id long, s array<long>")
         lone = sets.select("id", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count("*").alias("lone"))
         t = percent / 100
-        lone = written(lone, "lone", 500)
+        lone = put(lone, "lone")
         able = nodes.select("id", "n").join(small(ids), "id", "left_semi").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
-        able = written(able.withColumn("most", F.floor(F.col("common") / t + F.col("common") - F.col("n") + 1e-9)).where(F.col("most") >= F.floor(F.col("n") * t)), "able")
+        able = put(able.withColumn("most", F.floor(F.col("common") / t + F.col("common") - F.col("n") + 1e-9)).where(F.col("most") >= F.floor(F.col("n") * t)), "able")
         # once more a star each, around the node with many shingles in common and few of its own: the likely source of the others
-        held = written(held.join(small(able), "id"), "held")
-        best = written(held.groupBy("key").agg(F.max(F.struct(F.col("common") * F.col("common") / F.col("n"), -F.col("id"))).alias("x"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", (-F.col("x.col2")).alias("best")), "best")
-        near = written(held.join(small(best), "key").where("id <> best").select(F.col("best").alias("a"), F.col("id").alias("b")).distinct(), "again")
+        held = put(held.join(small(able), "id"), "held")
+        best = put(held.groupBy("key").agg(F.max(F.struct(F.col("common") * F.col("common") / F.col("n"), -F.col("id"))).alias("x"), F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key", (-F.col("x.col2")).alias("best")), "best")
+        near = put(held.join(small(best), "key").where("id <> best").select(F.col("best").alias("a"), F.col("id").alias("b")).distinct(), "again")
         near = compared(near)
         links = links.union(near.where("link").select("a", "b"))
-        of = written(components(links), "components")
+        of = found(links)
         # inside: shingles in common with the star's centre; outside: at most so many in common with others besides
         inside = near.select(F.col("a").alias("best"), F.col("b").alias("id"), "inter")
         held = spread(held.join(small(best), "key").where("id <> c and id <> best").select("key", "id", "c"), of).join(small(able), "id").join(small(best), "key").join(inside, ["best", "id"], "left")
-        held = written(held.withColumn("inside", F.coalesce("inter", "common")).withColumn("outside", F.coalesce(F.col("common") - F.col("inter"), "common")), "held")
+        held = put(held.withColumn("inside", F.coalesce("inter", "common")).withColumn("outside", F.coalesce(F.col("common") - F.col("inter"), "common")), "held")
         # nodes that meet in many buckets meet once around their star's centre, which all of a bucket share
         held = held.select(F.col("best").alias("key"), *[c for c in held.columns if c not in ("key", "best", "c", "inter")]).distinct()
         most = held.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", "m").alias("largest"))
@@ -194,11 +211,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fewer = fewer.where(high >= low).withColumn("grade", F.explode(F.sequence(grade(low), grade(high))))
         others = held.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("most_b"), F.col("inside").alias("in_b"), F.col("outside").alias("out_b"), grade(F.col("n")).alias("grade"))
         rest = fewer.join(others, ["key", "grade"]).where(f"ca <> cb and nb <= most_a and na <= most_b and (least(in_a, in_b) + least(out_a, out_b)) * {100 + percent} >= {percent} * (na + nb)")
-        rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+        rest = put(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
         if not rest.isEmpty():
             links = links.union(confirmed(rest))
-            of = written(components(links), "components")
-    node = nodes.select("digest", F.col("id").alias("node")).join(of, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "digest").join(written(node, "classes"), "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+            of = found(links)
+    node = nodes.select("digest", "own", "id").join(of.withColumnRenamed("node", "id"), "id", "left")
+    least = put(node.where("component is not null").groupBy("component").agg(F.min("own").alias("least")), "least")
+    node = put(node.join(small(least), "component", "left").select("digest", F.coalesce("least", "own").alias("component")), "classes")
+    out = signed.select("own", "n", "digest").join(node, "digest", "left")
+    given = lambda c: F.when(c != NO_ID, c)
+    component = F.when(F.col("own") != NO_ID, given(F.coalesce("component", "own")))
+    out = out.select(given(F.col("own")).alias("id"), "n", component.alias("component_id"))
+    return put.result(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")), "near")

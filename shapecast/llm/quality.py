@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, words_white, written
+from .common import small, written
+from .tokens import tokens
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,7 +30,7 @@ def features(flat: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
     A bucket counts once per document: a word that a document repeats a thousand times is one observation. How many
     tenths of its word pairs are a word with itself is one feature more.
     """
-    w = flat[at[0] : at[-1]].view(np.uint64)
+    w = flat[at[0] : at[-1]]
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     one = (w * MULT) >> np.uint64(64 - bits)
     pair = (((w[:-1] * MULT) ^ (w[1:] >> np.uint64(7)) ^ w[1:]) * MULT) >> np.uint64(64 - bits)
@@ -49,18 +50,18 @@ CHUNK = 4096
 SLICE = 250_000
 
 
-def slices(lists: pa.ListArray):
+def slices(texts: pa.Array):
     """(first, last, words, offsets) of runs of texts of at most SLICE words in all."""
-    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    flat, at = tokens(texts)
     first = 0
-    while first < len(lists):
+    while first < len(texts):
         last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE, side="right")) - 1)
         yield first, last, flat, at[first : last + 1]
         first = last
 
 
 def counter(bits: int):
-    """Arrow batches (good, h) to (chunk, raw, good, bad): lists of counts of CHUNK buckets each; good is null where no label is."""
+    """Arrow batches (good, text) to (chunk, raw, good, bad): lists of counts of CHUNK buckets each; good is null where no label is."""
     def run(batches):
         n = np.zeros((3, 1 << bits), np.int32)  # of one partition
         for batch in batches:
@@ -100,7 +101,7 @@ def ratios(counts: DataFrame, a: float = 0.5, evidence: float = 24.0) -> DataFra
 
 
 def scorer(at: np.ndarray, value: np.ndarray, bits: int):
-    """Arrow batches (id, good, h) to (id, good, log_ratio, apart). at, value: buckets and their ratio, not_good, not_bad.
+    """Arrow batches (id, good, text) to (id, good, log_ratio, apart). at, value: buckets and their ratio, not_good, not_bad.
 
     apart: a labelled row's log ratio by the ratios without that row.
     """
@@ -159,14 +160,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if n_lab > max_labelled:
         lab, n_lab = written(lab.orderBy(F.xxhash64("lab_id")).limit(max_labelled), "labels"), max_labelled
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hashes = F.transform(words_white(F.col("text")), lambda w: F.xxhash64(w))
     with_label = d.join(small(lab, n_lab), F.col("id") == F.col("lab_id"), "left")
-    counted = with_label.select("good", hashes.alias("h")).mapInArrow(counter(bits), "chunk long, raw array<long>, good array<long>, bad array<long>").repartition("chunk")
+    counted = with_label.select("good", "text").mapInArrow(counter(bits), "chunk long, raw array<long>, good array<long>, bad array<long>").repartition("chunk")
     counted = counted.select("chunk", F.posexplode(F.arrays_zip("raw", "good", "bad")).alias("at", "x")).select((F.col("chunk") * CHUNK + F.col("at")).alias("bucket"), "x.*")
-    counts = written(counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("raw", "good", "bad")]), "counts", 1000)
+    counts = written(counted.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in ("raw", "good", "bad")]), "counts")
     found = ratios(counts).toArrow()  # 2 ** bits rows at most
     at, value = found["bucket"].to_numpy(), np.stack([found[x].to_numpy() for x in ("ratio", "not_good", "not_bad")])
-    scored = written(with_label.select("id", "good", hashes.alias("h")).mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, good int, log_ratio double, apart double"), "scored", 1000)
+    scored = written(with_label.select("id", "good", "text").mapInArrow(scorer(at, value, bits), f"id {d.schema['id'].dataType.simpleString()}, good int, log_ratio double, apart double"), "scored")
     # the limit that tells the labelled rows apart best, each scored without itself; at most max_labelled of them
     known = scored.where("good is not null").select("apart", "good").toArrow()
     x, y = known["apart"].to_numpy(), known["good"].to_numpy()
