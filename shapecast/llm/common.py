@@ -7,6 +7,7 @@ import contextlib
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,8 +85,11 @@ def forget(df: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, rather than when the driver next collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    spark.range(1).collect()  # the last step is no longer what the session holds on to
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

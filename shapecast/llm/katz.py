@@ -1,14 +1,18 @@
-"""Language-model scoring with a Katz backoff bigram model learnt from the corpus.
+"""Language-model scoring with a Katz backoff n-gram model learnt from the corpus.
 
-Texts are packed into blocks of bounded size. A block asks for the counts of its distinct words, and then of its distinct
-word pairs, in one list per bucket of the hash space; buckets add up what all blocks ask, keep the model's tables, and
-answer with lists in the order asked. So what is shuffled are distinct words and pairs of blocks, not tokens, and no model
-table is ever sent whole. Pairs of contexts with more than a two-thousandth of all tokens (so fewer than 2000 of them) are
-dealt by context and word, all others by context.
+Texts are packed into blocks of bounded size. For each order, from single words up, a block asks for the counts of its
+distinct n-grams in one packed request per bucket of the hash space; buckets add up what all blocks ask, keep the model's
+tables, and answer in the order asked. So what is shuffled are distinct n-grams of blocks, not tokens, and no model table is
+ever sent whole. A context asks the bucket of its first word; where that, or a longer part of it, has more than a
+two-thousandth of all tokens (so fewer than 2000 have), the next word is part of the hash too.
+
+An n-gram of a training text has a count, so only held-out texts back off: buckets return what a context's backoff weight
+needs only where one of them asks.
 """
 
 from __future__ import annotations
 
+import struct
 import sys
 import uuid
 
@@ -18,22 +22,28 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, forget, partitions, released, words_white, written
+from .common import BATCH_BYTES, Scratch, batches_of, forget, partitions, released, shared_dir
+from .tokens import tokens as text_tokens
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Hashes that stand for the end of a text, and for the context before its first word.
-END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Hash that stands for the end of a text.
+END = np.uint64(0x5851F42D4C957F2D)
 #: Counts over GT are not discounted.
 GT = 5
+#: A context with more than one part in HEAVY of all tokens is dealt by its next word too.
 HEAVY = 2000
+#: Words whose counts all tasks know: those with the smallest numbers, which are the most frequent but for few.
+TOP = 1 << 16
+#: Of an entry in a request: its backoff weight is needed; it is dealt by its next word too.
+WEIGHT, SPREAD = 1, 2
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
     h = np.zeros(len(parts[0]), np.uint64)
     for x in parts:
-        h = (h ^ x) * M1
+        h = (h ^ x.astype(np.uint64)) * M1
         h = (h ^ (h >> np.uint64(32))) * M2
     return h ^ (h >> np.uint64(29))
 
@@ -55,6 +65,10 @@ def good_turing(n: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], (r - 0.5) / r))
 
 
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count > GT, 1.0, d[np.minimum(count, GT)]) * count
+
+
 class Unigrams:
     """Discounted word probabilities; what the discounts free is the probability of the one unknown word."""
 
@@ -65,63 +79,78 @@ class Unigrams:
         self.unknown = (freed if freed > 0 else 0.5) / self.total if tokens else 1.0
 
     def __call__(self, count: np.ndarray) -> np.ndarray:
-        d = np.where(count > GT, 1.0, self.d[np.minimum(count, GT)])
-        return np.where(count > 0, d * count / self.total, self.unknown)
-
+        return np.where(count > 0, discounted(count, self.d) / self.total, self.unknown)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as compressed planes of their bytes."""
+    head, planes = [struct.pack("<B", len(arrays))], []
+    for x in arrays:
+        x = np.ascontiguousarray(x).view(np.uint64) if x.dtype == np.float64 else x.astype(np.uint64)
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head.append(struct.pack("<QB", len(x), width))
+        for k in range(width):
+            planes.append((x >> np.uint64(8 * k)).astype(np.uint8).tobytes())
+    return b"".join(head) + pa.Codec("zstd").compress(b"".join(planes), asbytes=True)
+
+
+def unpack(x: bytes) -> list[np.ndarray]:
+    """The arrays, as signed numbers."""
+    shapes = [struct.unpack_from("<QB", x, 1 + 9 * i) for i in range(x[0])]
+    data = pa.Codec("zstd").decompress(x[1 + 9 * len(shapes) :], sum(n * w for n, w in shapes), asbytes=True)
+    out, at = [], 0
+    for n, width in shapes:
+        y = np.zeros(n, np.uint64)
+        for k in range(width):
+            y |= np.frombuffer(data, np.uint8, n, at).astype(np.uint64) << np.uint64(8 * k)
+            at += n
+        out.append(y.view(np.int64))
+    return out
 
-def backoff(few: np.ndarray, many: np.ndarray, p1: np.ndarray, context: np.ndarray, d: np.ndarray, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
-    """(denominator, backoff weight) of contexts.
 
-    few: numbers of kept pairs with count cutoff to GT; many: sum of the counts over GT; p1: sum of the kept words'
-    unigram probabilities; context: the contexts' counts. The weight gives the words without a kept pair exactly what the
-    kept ones leave. Where they leave nothing, the denominator is one more.
-    """
-    r = np.arange(cutoff, GT + 1)
-    kept = many + (few * (d[r] * r)).sum(axis=1)
-    total = context + np.where(context - kept < 1e-9, 1.0, 0.0)
-    total = np.maximum(total, 1.0)
-    return total, np.where(context > 0, (total - kept) / total / np.maximum(1.0 - p1, 1e-300), 1.0)
+def steps(x: np.ndarray) -> np.ndarray:
+    """Numbers that mostly rise a little, as small ones."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    return (d << 1) ^ (d >> 63)
 
 
-def packed(x: np.ndarray) -> bytes:
-    return pa.Codec("zstd").compress(x.tobytes(), asbytes=True)
+def unsteps(y: np.ndarray) -> np.ndarray:
+    return np.cumsum((y >> 1) ^ -(y & 1))
 
 
-def unpacked(x: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(x, n * np.dtype(kind).itemsize, asbytes=True), kind)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, place of each key in them)."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, place.astype(np.int32)
 
 
-def lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
-    """One list per array."""
-    at = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(at, pa.array(np.concatenate(arrays) if arrays else np.array([], np.int64), kind))
+def one_of(place: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """A value of each distinct key, all of a key being equal."""
+    out = np.empty(n, values.dtype)
+    out[place] = values
+    return out
 
 
 def blocker(size: int, id_type: pa.DataType):
-    """Arrow batches (id, train, h) to blocks of about `size` tokens.
+    """Arrow batches (id, train, text) to blocks of about `size` tokens, but for a single longer text.
 
-    words: the distinct words' hashes, the most frequent first; tokens: packed places in it; counts: of training tokens.
+    words: the distinct words' hashes, sorted; tokens: places in it; counts: of training tokens.
     """
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
         ids, train, sizes, flat, n = [], [], [], [], 0
 
         def block():
-            word, place, count = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
-            order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            tok = rank[place]
-            counts = np.bincount(tok, np.repeat(np.array(train, bool), sizes).astype(float), len(order)).astype(np.int64)
+            word, place = distinct(np.concatenate(flat))
+            counts = np.bincount(place, np.repeat(np.array(train, float), sizes), len(word)).astype(np.int64)
             return pa.record_batch([
-                pa.array([(part << 24) + made], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([train], pa.list_(pa.bool_())), lists([np.array(sizes)], pa.int64()),
-                pa.array([packed(tok)], pa.binary()), lists([word[order].view(np.int64)], pa.int64()), lists([counts], pa.int64()),
-                pa.array([int(counts.sum())], pa.int64()), pa.array([sum(train)], pa.int64()),
-            ], ["block", "ids", "train", "sizes", "tokens", "words", "counts", "train_tokens", "train_docs"])
+                pa.array([(part << 24) + made], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([train], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([pack(place)], pa.binary()), pa.array([word.tobytes()], pa.binary()), pa.array([pack(counts)], pa.binary()),
+                pa.array([len(word)], pa.int64()), pa.array([n], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([sum(train)], pa.int64()),
+            ], ["block", "ids", "train", "sizes", "tokens", "words", "counts", "n_words", "n_tokens", "train_tokens", "train_docs"])
 
         for batch in batches:
-            h = batch.column(2)
-            at, values = h.offsets.to_numpy(), h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            values, at = text_tokens(batch.column(2))
             for i, (key, is_train) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids.append(key), train.append(is_train), sizes.append(int(at[i + 1] - at[i]) + 1)
                 flat.append(values[at[i] : at[i + 1]].copy()), flat.append(np.array([END]))
@@ -136,216 +165,334 @@ def blocker(size: int, id_type: pa.DataType):
     return run
 
 
-def by_hash(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the words by hash, and where each bucket begins in it."""
-    order = np.argsort(words)
+PARTS = "bucket long, block long, parts array<binary>"
+
+
+def sent(rows: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.binary()))], ["bucket", "block", "parts"])
+
+
+def word_edges(words: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.array([], np.uint64)
-    return order, np.concatenate(([0], np.searchsorted(words[order], edges), [len(words)]))
+    return np.concatenate(([0], np.searchsorted(words, edges), [len(words)]))
 
 
 def word_requests(bits: int):
-    """(block, words, counts) to (bucket, block, words, counts)."""
+    """(block, words, counts) to a bucket's requests: words, counts."""
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                words, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
-                words = words.view(np.uint64)
-                order, at = by_hash(words, bits)
-                full = np.flatnonzero(np.diff(at))
-                w, c = ([x[order[at[b] : at[b + 1]]] for b in full] for x in (words.view(np.int64), counts))
-                yield pa.record_batch([pa.array(full, pa.int64()), pa.array(np.repeat(batch.column(0)[i].as_py(), len(full)), pa.int64()), lists(w, pa.int64()), lists(c, pa.int64())], ["bucket", "block", "words", "counts"])
+            for block, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, counts = np.frombuffer(words, np.uint64), unpack(counts)[0]
+                at = word_edges(words, bits)
+                yield sent([(b, block, [words[at[b] : at[b + 1]].tobytes(), pack(counts[at[b] : at[b + 1]])]) for b in np.flatnonzero(np.diff(at)).tolist()])
 
     return run
 
 
-def split(x: np.ndarray, sizes) -> list[np.ndarray]:
-    return np.split(x, np.cumsum(sizes)[:-1])
-
-
-def columns(table: pa.Table, *names: str):
-    """numpy values of scalar columns; (values, lengths) of list columns."""
-    out = []
-    for c in (table.column(n).combine_chunks() for n in names):
-        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-        if pa.types.is_list(c.type):
-            out.append((c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())))
-        else:
-            out.append(c.to_numpy(zero_copy_only=False))
-    return out
-
+def word_answers(bits: int):
+    """A bucket's requests to answers (totals, numbers), and to a row of the bucket's own (block -1): statistics, totals of the words among TOP, and its model: words, totals.
 
-def word_answers(heavy: int):
-    """A bucket's requests to answers (block, bucket, totals) and one row of the bucket's own (block -1): its model rows and statistics."""
+    A word's number is its rank in the bucket times the number of buckets, plus the bucket and 1: the frequent ones have
+    small numbers.
+    """
     def run(table):
-        blocks, bucket, (words, size), (counts, _) = columns(table, "block", "bucket", "words", "counts")
-        word, place = np.unique(words.view(np.uint64), return_inverse=True)
-        total = np.bincount(place, counts, len(word)).astype(np.int64)
+        rows = table.to_pylist()
+        bucket = rows[0]["bucket"]
+        words = [np.frombuffer(x["parts"][0], np.uint64) for x in rows]
+        word, place = distinct(np.concatenate(words))
+        total = np.bincount(place, np.concatenate([unpack(x["parts"][1])[0] for x in rows]), len(word)).astype(np.int64)
+        order = np.lexsort((word, -total))
+        number = np.empty(len(word), np.int64)
+        number[order] = (np.arange(len(word)) << bits) + bucket + 1
         stats = np.concatenate(([np.count_nonzero(total)], np.bincount(np.minimum(total[total > 0], GT + 2), minlength=GT + 3)[1 : GT + 2]))
-        none, seen = np.array([], np.int64), total > 0
-        rows = split(total[place], size)
-        return pa.table([
-            pa.array([*blocks, -1], pa.int64()), pa.array([*bucket, bucket[0]], pa.int64()), lists([*rows, total[seen]], pa.int64()), lists([none] * len(rows) + [word[seen].view(np.int64)], pa.int64()),
-            lists([none] * len(rows) + [word[total > heavy].view(np.int64)], pa.int64()), lists([none] * len(rows) + [stats], pa.int64()),
-        ], names=["block", "bucket", "totals", "words", "heavy", "stats"])
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        out = [(bucket, x["block"], [pack(t, k)]) for x, t, k in zip(rows, np.split(total[place], ends), np.split(number[place], ends), strict=True)]
+        top = order[: max(1, TOP >> bits)]
+        seen = order[total[order] > 0]
+        out.append((bucket, -1, [pack(stats, number[top], total[top]), word[seen].tobytes(), pack(total[seen])]))
+        return pa.Table.from_batches([sent(out)])
 
     return run
 
 
-class Pairs:
-    """What a block asks about its pairs, in order: entries (bucket, context) and under each its words."""
-
-    def __init__(self, row: dict, totals: np.ndarray, train_docs: int, heavy: np.ndarray, bits: int, cutoff: int):
-        words = row["words"].view(np.uint64)
-        order, _ = by_hash(words, 0)
-        self.total = np.empty(len(words), np.int64)
-        self.total[order] = totals
-        self.sizes, self.train = row["sizes"], row["train"]
-        tok = unpacked(row["tokens"], np.uint32, int(self.sizes.sum())).astype(np.uint64)
-        n = np.uint64(len(words))
-        context = np.empty_like(tok)
-        context[1:] = tok[:-1]
-        context[np.concatenate(([0], np.cumsum(self.sizes)[:-1]))] = n
-        self.tok = tok.astype(np.int64)
-        keys, self.place = np.unique((context << np.uint64(32)) | tok, return_inverse=True)
-        self.context, self.word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        trained = np.repeat(self.train, self.sizes).astype(float)
-        self.count = np.bincount(self.place, trained, len(keys)).astype(np.int64)
-        hashes = np.append(words, START)
-        self.hashes = hashes
-        self.context_total = np.append(self.total, train_docs)
-        can = (self.context_total[self.context] >= cutoff) & (self.total[self.word] >= cutoff)
-        self.singles = int(self.count[~can].sum())  # such a pair can't occur twice
-        is_heavy = np.isin(hashes, heavy)
-        down = np.uint64(64 - bits)
-        of_context = (mixed(hashes) >> down).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        asked = np.flatnonzero(can)
-        c, w = self.context[asked], self.word[asked]
-        bucket = of_context[c]
-        h = is_heavy[c]
-        if bits and h.any():
-            bucket[h] = (mixed(hashes[c[h]], hashes[w[h]]) >> down).astype(np.int64)
-        entry = (bucket << 32) | c
-        by = np.argsort(entry, kind="stable")
-        self.asked, entry = asked[by], entry[by]
-        alone = np.unique(self.context)
-        alone = alone[(self.context_total[alone] >= cutoff) & ~is_heavy[alone]]
-        self.entries = np.unique(np.concatenate((entry, (of_context[alone] << 32) | alone)))
-        edges = np.searchsorted(entry, np.append(self.entries, np.int64(2**62)))
-        self.runs = np.diff(edges)
-        self.entry_bucket, self.entry_context = self.entries >> 32, self.entries & 0xFFFFFFFF
+def joint(answers: list, n: int) -> list[np.ndarray]:
+    """The n arrays of the answers of all buckets, each in one."""
+    got = [unpack(x["parts"][0]) for x in answers]
+    return [np.concatenate([g[i] for g in got]) if got else np.array([], np.int64) for i in range(n)]
 
 
-def rows_of(batch: pa.RecordBatch):
-    for i in range(batch.num_rows):
-        row = {}
-        for name, c in zip(batch.schema.names, batch.columns, strict=True):
-            x = c[i]
-            row[name] = x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) and name != "ids" else x.as_py()
-        yield row
+def renumbered(schema: pa.Schema):
+    """Blocks with answers1 to blocks whose tokens are places in their words' numbers, sorted, with the words' totals."""
+    def run(batches):
+        for batch in batches:
+            made: dict = {n: [] for n in ("tokens", "numbers", "totals")}
+            for tokens, got in zip(batch.column("tokens").to_pylist(), batch.column("answers1").to_pylist(), strict=True):
+                total, number = joint(sorted(got, key=lambda x: x["bucket"]), 2)
+                turn = np.argsort(number)
+                rank = np.empty(len(turn), np.int64)
+                rank[turn] = np.arange(len(turn))
+                made["tokens"].append(pack(rank[unpack(tokens)[0]])), made["numbers"].append(pack(steps(number[turn]))), made["totals"].append(pack(total[turn]))
+            yield pa.record_batch([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in schema], schema=schema)
 
+    return run
 
-def six(x: np.ndarray) -> bytes:
-    """The lower 48 bits of hashes: enough to tell the words after one context in one bucket apart."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
+class Level:
+    """A block's distinct n-grams of one order: context and word of each, what is asked of them and in which order."""
 
-def unsix(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    def __init__(self, order: int, context: np.ndarray, at: np.ndarray, word: np.ndarray, n_words: int, lower: np.ndarray, trained: np.ndarray, below):
+        """context, word, lower: of the tokens at the places `at`, that have so many words before them: the nodes of their
+        context and of the n-gram without its first word; below: the level before."""
+        keys, self.place = distinct(context.astype(np.int64) * n_words + word)
+        self.order, self.at, self.below = order, at, below
+        self.context, self.word = (x.astype(np.int32) for x in np.divmod(keys, n_words))
+        self.lower = one_of(self.place, len(keys), lower)
+        self.count = np.bincount(self.place, trained, len(keys)).astype(np.int64)
+        self.weight = np.zeros(below.nodes, bool)  # contexts whose backoff weight a held-out text may need
+        self.weight[context[~trained]] = True
+        self.words, self.nodes = below.words, len(keys)
+        asked = (below.total_as_context[self.context] > 0) & (below.total[self.lower] > 0)
+        heavy = below.heavy
+        alone = self.weight & (below.total_as_context > 0) & ~heavy
+        alone[self.context[asked]] = False
+        asked, alone = np.flatnonzero(asked), np.flatnonzero(alone)
+        by, by_alone = self.dealt(asked), self._dealt(alone, None)
+        turn = np.argsort(by, kind="stable")
+        self.asked, by = asked[turn], by[turn]
+        c = self.context[self.asked]
+        edge = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (by[1:] != by[:-1])))) if len(c) else np.array([], np.int64)
+        entry_by, entry, runs = np.concatenate((by[edge], by_alone)), np.concatenate((c[edge], alone)), np.concatenate((np.diff(np.append(edge, len(c))), np.zeros(len(alone), np.int64)))
+        turn = np.argsort(entry_by, kind="stable")
+        self.entry_by, self.entry, self.runs = entry_by[turn], entry[turn], runs[turn]
+        self.flags = self.weight[self.entry] * WEIGHT + heavy[self.entry] * SPREAD
+        # a spread context's weight comes with the sums of all its parts
+        self.flags[heavy[self.entry]] = SPREAD
+
+    def dealt(self, nodes: np.ndarray) -> np.ndarray:
+        return self._dealt(self.context[nodes], self.words[self.word[nodes]])
+
+    def _dealt(self, context: np.ndarray, word: np.ndarray | None) -> np.ndarray:
+        """Hash that says which bucket: of the context's first word, and of those after as long as what is before them is heavy."""
+        parts, below = self.below.names(context), self.below.chain(context)
+        h = mixed(parts[0])
+        for j, heavy in enumerate(below):
+            if heavy.any():
+                more = [*parts[: j + 1], parts[j + 1] if j + 1 < len(parts) else word if word is not None else parts[j]]
+                h = np.where(heavy, mixed(*more), h)
+        return (h >> np.uint64(64 - self.below.bits)).astype(np.uint16 if self.below.bits <= 16 else np.int64) if self.below.bits else np.zeros(len(h), np.uint16)
+
+    def names(self, nodes: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the nodes' words."""
+        return [*self.below.names(self.context[nodes]), self.words[self.word[nodes]]]
+
+    def chain(self, nodes: np.ndarray) -> list[np.ndarray]:
+        """Whether the first word, the first two, ... of these nodes are heavy."""
+        return [*self.below.chain(self.context[nodes]), self.heavy[nodes]]
+
+    def answered(self, total: np.ndarray, threshold: float, bits: int) -> None:
+        """Takes the counts of what was asked, in order."""
+        self.total = np.zeros(self.nodes, np.int64)
+        self.total[self.asked] = total
+        self.total_as_context, self.heavy, self.bits = self.total, self.total > threshold, bits
+
+
+class Words:
+    """A block's words as the lowest level: contexts of order 2, with the text's start as the last one."""
+
+    def __init__(self, numbers: np.ndarray, total: np.ndarray, train_docs: int, threshold: float, bits: int):
+        self.total, self.nodes, self.bits = total, len(numbers) + 1, bits
+        self.total_as_context = np.append(total, train_docs)
+        self.words = numbers
+        self.all_names = np.append(numbers, 0)
+        self.heavy = self.total_as_context > threshold
+
+    def names(self, nodes: np.ndarray) -> list[np.ndarray]:
+        return [self.all_names[nodes]]
+
+    def chain(self, nodes: np.ndarray) -> list[np.ndarray]:
+        return [self.heavy[nodes]]
+
+
+class Block:
+    """A block's texts, and its levels as far as they are answered."""
+
+    def __init__(self, row: dict, model: dict, ask: bool = True):
+        self.sizes, self.train = np.array(row["sizes"], np.int64), np.array(row["train"], bool)
+        #: Of order 2 and up.
+        self.answers = [sorted(row[f"answers{k}"] or [], key=lambda x: x["bucket"]) for k in range(2, len(model["bits"])) if f"answers{k}" in row]
+        number, self.tok = unsteps(unpack(row["numbers"])[0]), unpack(row["tokens"])[0].astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.place = (np.arange(len(self.tok)) - np.repeat(self.first, self.sizes)).astype(np.int32)
+        self.trained = np.repeat(self.train, self.sizes)
+        self.levels = [Words(number, unpack(row["totals"])[0], model["train_docs"], model["threshold"], model["bits"][1])]
+        self.node = [self.tok]
+        for k in range(2, len(self.answers) + 2 + ask):
+            level = self.level(k)
+            if k < len(self.answers) + 2:
+                self.answers[k - 2] = joint(self.answers[k - 2], GT + 4)
+                level.answered(self.answers[k - 2][0], model["threshold"], model["bits"][k])
+                node = np.full(len(self.tok), -1, np.int32)
+                node[level.at] = level.place
+                self.node.append(node)
+            self.levels.append(level)
+
+    def level(self, k: int) -> Level:
+        at = np.flatnonzero(self.place >= k - 2)
+        below = self.levels[-1]
+        if k == 2:
+            context = np.empty_like(self.tok)
+            context[1:] = self.tok[:-1]
+            context[self.first] = below.nodes - 1
+        else:
+            context = self.node[-1][at - 1]
+        return Level(k, context, at, self.tok[at], len(self.levels[0].words), self.node[-1][at], self.trained[at], below)
 
 
-REQUEST = ["bucket", "block", "n_entries", "n_pairs", "contexts", "runs", "words", "counts", "totals"]
+def rows_of(batch: pa.RecordBatch):
+    for i in range(batch.num_rows):
+        yield {name: c[i].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def pair_requests(train_docs: int, heavy: np.ndarray, bits: int, cutoff: int):
-    """Blocks with their words' totals to REQUEST rows, and one row (bucket -1, n_pairs) of how many pairs can't be kept."""
+def requests(model: dict):
+    """Blocks with the answers up to one order to requests of the next: context numbers, runs, flags, words, counts, counts of the n-grams without their first words."""
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
-                p = Pairs(row, row["totals"], train_docs, heavy, bits, cutoff)
-                buckets, first = np.unique(p.entry_bucket, return_index=True)
-                contexts, words = p.hashes[p.entry_context], p.hashes[p.word[p.asked]]
-                counts, totals = p.count[p.asked].astype(np.uint32), p.total[p.word[p.asked]]
-                edges, ends, at = np.append(first, len(p.entries)), np.concatenate(([0], np.cumsum(p.runs))), []
-                for k, bucket in enumerate(buckets):
-                    i, j = edges[k], edges[k + 1]
+                level = Block(row, model).levels[-1]
+                buckets, first = np.unique(level.entry_by, return_index=True)
+                edges, ends = np.append(first, len(level.entry)), np.concatenate(([0], np.cumsum(level.runs)))
+                word, count, lower = level.words[level.word[level.asked]], level.count[level.asked], level.below.total[level.lower[level.asked]]
+                if level.order == 2:
+                    lower = np.where(word <= TOP, 0, lower)
+                names, out = level.below.names(level.entry), []
+                for b, i, j in zip(buckets.tolist(), edges[:-1], edges[1:], strict=True):
                     u, v = ends[i], ends[j]
-                    at.append((bucket, row["block"], j - i, v - u, contexts[i:j].tobytes(), packed(p.runs[i:j].astype(np.uint32)), six(words[u:v]), packed(counts[u:v]), packed(totals[u:v])))
-                at.append((-1, row["block"], 0, p.singles, b"", b"", b"", b"", b""))
-                kinds = [pa.int64()] * 4 + [pa.binary()] * 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*at, strict=True), kinds, strict=True)], REQUEST)
+                    out.append((b, row["block"], [pack(*(steps(x[i:j]) for x in names), level.runs[i:j], level.flags[i:j], steps(word[u:v]), count[u:v], lower[u:v])]))
+                if out:
+                    yield sent(out)
 
     return run
 
 
-def pair_answers(uni: Unigrams, heavy: np.ndarray, cutoff: int):
-    """A bucket's requests to answers (block, bucket, counts, few, many, p1), and one row of its own (block -1) with its part of the model and of the heavy contexts."""
-    width = GT + 1 - cutoff
-    names = ["block", "bucket", "counts", "few", "many", "p1", "contexts", "words", "stats"]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of numbers, in order."""
+    if len(a) and max(int(a.max()), int(b.max())) >> 32:
+        a, b = (distinct(x)[1] for x in (a, b))
+    return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+
+def answers(order: int, mass):
+    """A bucket's requests to answers, and to a row of the bucket's own (block -1).
 
+    An answer: counts; whether each entry has a count up to GT; and of the entries whose weight is needed the numbers of
+    n-grams with the counts 1 to GT, the sum of the counts over GT, and the sum of mass(word, count without the first word).
+    Own: numbers of n-grams by count; the same sums of spread contexts; the model: contexts, runs, words, counts.
+    """
     def run(table):
         rows = table.to_pylist()
-        none, reals = np.array([], np.int64), np.array([], float)
-        if rows[0]["bucket"] < 0:
-            stats = np.array([sum(x["n_pairs"] for x in rows)] + [0] * GT)
-            return pa.table([pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), *[lists([none], pa.int64())] * 3, lists([reals], pa.float64()), lists([none], pa.int64()), lists([none], pa.int64()), lists([stats], pa.int64())], names=names)
-        entries, pairs = [x["n_entries"] for x in rows], [x["n_pairs"] for x in rows]
-        contexts = np.concatenate([np.frombuffer(x["contexts"], np.uint64) for x in rows])
-        runs = np.concatenate([unpacked(x["runs"], np.uint32, x["n_entries"]) for x in rows])
-        words = np.concatenate([unsix(x["words"]) for x in rows])
-        counts = np.concatenate([unpacked(x["counts"], np.uint32, x["n_pairs"]) for x in rows])
-        totals = np.concatenate([unpacked(x["totals"], np.int64, x["n_pairs"]) for x in rows])
-        context = np.repeat(contexts, runs)
-        _, first, place = np.unique(mixed(context, words), return_index=True, return_inverse=True)
-        total = np.bincount(place, counts, len(first)).astype(np.int64)
-        stats = np.bincount(np.minimum(total, GT + 2), minlength=GT + 3)[1 : GT + 2]
-        kept = np.flatnonzero(total >= cutoff)
-        own, c = np.unique(context[first[kept]], return_inverse=True)
-        t = total[kept]
-        few = np.stack([np.bincount(c, t == r, len(own)) for r in range(cutoff, GT + 1)], axis=1).astype(np.int64).reshape(len(own), width)
-        many = np.bincount(c, np.where(t > GT, t, 0), len(own)).astype(np.int64)
-        p1 = np.bincount(c, uni(totals[first[kept]]), len(own))
-        at = np.minimum(np.searchsorted(own, contexts), max(len(own) - 1, 0))
-        has = own[at] == contexts if len(own) else np.zeros(len(contexts), bool)
-        pick = lambda x: np.where(has.reshape((-1,) + (1,) * (x.ndim - 1)), x[at], 0) if len(own) else np.zeros((len(contexts), *x.shape[1:]), x.dtype)
-        big = np.isin(own, heavy)
-        return pa.table([
-            pa.array([*(x["block"] for x in rows), -1], pa.int64()), pa.array([rows[0]["bucket"]] * (len(rows) + 1), pa.int64()), lists([*split(np.where(total >= cutoff, total, 0)[place], pairs), t], pa.int64()),
-            lists([*split(pick(few).ravel(), [n * width for n in entries]), few[big].ravel()], pa.int64()), lists([*split(pick(many), entries), many[big]], pa.int64()), lists([*split(pick(p1), entries), p1[big]], pa.float64()),
-            lists([none] * len(rows) + [np.concatenate((own[big].view(np.int64), context[first[kept]].view(np.int64)))], pa.int64()), lists([none] * len(rows) + [words[first[kept]].view(np.int64)], pa.int64()), lists([none] * len(rows) + [stats], pa.int64()),
-        ], names=names)
+        parts = [list(x) for x in zip(*(unpack(x["parts"][0]) for x in rows), strict=True)]
+        names = [[unsteps(x) for x in p] for p in parts[: order - 1]]
+        runs, flags = parts[order - 1 : order + 1]
+        words = [unsteps(x) for x in parts[order + 1]]
+        counts, lower = (np.concatenate(p) for p in parts[order + 2 : order + 4])
+        n_words, n_entries = [len(w) for w in words], [len(r) for r in runs]
+        names, words = [np.concatenate(x) for x in names], np.concatenate(words)
+        key = names[0].astype(np.uint64)
+        for j, x in enumerate(names[1:]):
+            key = joined(distinct(key)[1] if j else key, x)
+        found, entry = distinct(key)
+        n, names = len(found), [one_of(entry, len(found), x) for x in names]
+        of = np.repeat(entry, np.concatenate(runs))
+        found, place = distinct(joined(of, words))
+        size = len(found)
+        total = np.bincount(place, counts, size).astype(np.int64)
+        context, word, low = (one_of(place, size, x) for x in (of, words, lower))
+        del key, found, of, words, lower, counts, parts
+        kept = np.flatnonzero(total > 0)
+        c, t = context[kept], total[kept]
+        few = np.stack([np.bincount(c, t == r, n) for r in range(1, GT + 1)]).astype(np.int64)
+        many = np.bincount(c, np.where(t > GT, t, 0), n).astype(np.int64)
+        sums = np.bincount(c, mass(word[kept], low[kept]), n)
+        some = few.any(axis=0)
+        out = []
+        of_entry, of_word = np.split(entry, np.cumsum(n_entries)[:-1]), np.split(place, np.cumsum(n_words)[:-1])
+        for x, e, f, w in zip(rows, of_entry, flags, of_word, strict=True):
+            e1 = e[(f & WEIGHT) > 0]
+            out.append((x["bucket"], x["block"], [pack(total[w], some[e], *(r[e1] for r in few), many[e1], sums[e1])]))
+        spread = np.unique(entry[(np.concatenate(flags) & SPREAD) > 0])
+        stats = np.bincount(np.minimum(t, GT + 2), minlength=GT + 3)[1 : GT + 2]
+        own = [pack(stats, *(x[spread] for x in names), *(r[spread] for r in few), many[spread], sums[spread])]
+        size = np.bincount(c, minlength=n)
+        full = np.flatnonzero(size)
+        own.append(pack(*(steps(x[full]) for x in names), size[full], steps(word[kept]), t))
+        return pa.Table.from_batches([sent([*out, (rows[0]["bucket"], -1, own)])])
 
     return run
 
 
-def scores(uni: Unigrams, tokens: int, types: int, train_docs: int, heavy: dict, d: np.ndarray, bits: int, cutoff: int, id_type: pa.DataType):
+def own_sums(order: int):
+    """Own rows of buckets to (what, key, values): statistics, and the sums of spread contexts."""
+    def run(batches):
+        for batch in batches:
+            what, values = [], []
+            for parts in batch.column(0).to_pylist():
+                stats, *got = unpack(parts[0])
+                what.append([]), values.append(stats.astype(float).tolist())
+                names, nums = got[: order - 1], [x.astype(float) for x in got[order - 1 : -1]] + [got[-1].view(np.float64)]
+                what += np.stack(names, axis=1).tolist()
+                values += np.stack(nums, axis=1).tolist()
+            yield pa.record_batch([pa.array(what, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], ["what", "values"])
+
+    return run
+
+
+def scores(model: dict, id_type: pa.DataType):
     """Blocks with all answers to a row per document."""
-    width = GT + 1 - cutoff
-    keys = np.array(heavy["context"], np.uint64)
+    uni, orders = model["uni"], len(model["bits"]) - 1
+
+    def weights(block: Block, k: int, den_below: np.ndarray | None):
+        """(denominator, backoff weight) of each context of order k."""
+        level, d = block.levels[k - 1], model["discounts"][k]
+        context = level.below.total_as_context.astype(float)
+        some, few, many, sums = np.zeros(level.below.nodes, bool), np.zeros((GT, level.below.nodes)), np.zeros(level.below.nodes), np.zeros(level.below.nodes)
+        _, own, *numbers = block.answers[k - 2]
+        some[level.entry] = own > 0
+        need = level.entry[(level.flags & WEIGHT) > 0]
+        for r in range(GT):
+            few[r, need] = numbers[r]
+        many[need], sums[need] = numbers[GT], numbers[GT + 1].view(np.float64)
+        heavy = np.flatnonzero(level.below.heavy)
+        spread = model["spread"][k]
+        for i, key in zip(heavy.tolist(), zip(*(x.tolist() for x in level.below.names(heavy)), strict=True), strict=True):
+            v = spread.get(key, [0.0] * (GT + 2))
+            few[:, i], many[i], sums[i] = v[:GT], v[GT], v[GT + 1]
+            some[i] = any(v[:GT])
+        total = np.maximum(context + ~some, 1.0)
+        kept = many + (few * (d[1:] * np.arange(1, GT + 1))[:, None]).sum(axis=0)
+        if den_below is not None:
+            sums = sums / den_below[level.below.last]
+        return total, np.where(context > 0, (total - kept) / total / np.maximum(1.0 - sums, 1e-300), 1.0)
 
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
-                p = Pairs(row, row["totals"], train_docs, keys, bits, cutoff)
-                few, many, p1 = np.zeros((len(p.hashes), width)), np.zeros(len(p.hashes)), np.zeros(len(p.hashes))
-                at = p.entry_context
-                few[at], many[at], p1[at] = row["few"].reshape(-1, width), row["many"], row["p1"]
-                if len(keys):
-                    place = np.minimum(np.searchsorted(keys, p.hashes), len(keys) - 1)
-                    h = keys[place] == p.hashes
-                    few[h], many[h], p1[h] = (np.asarray(heavy[x])[place[h]] for x in ("few", "many", "p1"))
-                total, weight = backoff(few, many, p1, p.context_total.astype(float), d, cutoff)
-                count = np.zeros(len(p.context), np.int64)
-                count[p.asked] = row["pair_counts"]
-                discount = np.where(count > GT, 1.0, d[np.minimum(count, GT)])
-                prob = np.where(count > 0, discount * count / total[p.context], weight[p.context] * uni(p.total)[p.word])
-                doc = np.repeat(np.arange(len(p.sizes)), p.sizes)
-                known = p.total[p.tok]
-                add = lambda x: np.bincount(doc, x, len(p.sizes))
-                base = add(np.log10((known + 0.5) / (tokens + 0.5 * (types + 1))))
+                block = Block(row, model, ask=False)
+                words = block.levels[0]
+                known = words.total[block.tok]
+                prob, den = uni(known), None
+                for k in range(2, orders + 1):
+                    level = block.levels[k - 1]
+                    # the node of the context without its first word, as a context of the order below
+                    level.last = level.word if k == 2 else level.lower
+                    den, weight = weights(block, k, den)
+                    count, c = level.total[level.place], level.context[level.place]
+                    prob[level.at] = np.where(count > 0, discounted(count, model["discounts"][k]) / den[c], weight[c] * prob[level.at])
+                doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
+                add = lambda x: np.bincount(doc, x, len(block.sizes))
+                base = add(np.log10((known + 0.5) / (model["tokens"] + 0.5 * (model["types"] + 1))))
                 yield pa.record_batch([
-                    pa.array(row["ids"], id_type), pa.array(~p.train.astype(bool)), pa.array(p.sizes, pa.int64()), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(len(p.sizes), tokens), pa.int64()), pa.array(base), pa.array(add(np.log10(prob)[p.place])),
+                    pa.array(row["ids"], id_type), pa.array(~block.train), pa.array(block.sizes, pa.int64()), pa.array(add(known > 0).astype(np.int64)), pa.array(np.full(len(block.sizes), model["tokens"]), pa.int64()), pa.array(base), pa.array(add(np.log10(prob))),
                 ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -355,74 +502,100 @@ def bits_for(items: int, each: int) -> int:
     return max(0, int(np.ceil(np.log2(max(items, 1) / each))))
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", cutoff: int = 2, block_tokens: int = 750_000, model_path: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, block_tokens: int = 500_000, model_path: str | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased runs without white space and one end. The model learns from the rows where train is true; the
-    others are held out. score is the sum of log10 of Katz's bigram probability: a pair seen `cutoff` times or more has its
-    Good-Turing discounted relative frequency; else the context's backoff weight times the word's discounted unigram
-    probability, an unknown word's being what the discounts free; the first token's context is the text's start. For each
-    context the probabilities of all known words and the unknown one sum to 1. base_score: unigrams with 0.5 added to each
-    count. Null text is empty and has the end only. Without training rows every word is unknown. Repeated rows stay
-    repeated; other columns are not looked at. model_path keeps the model's tables there: words/ and pairs/, by bucket.
+    others are held out. score is the sum of log10 of Katz's n-gram probability of the given order, of which each order
+    falls back on the one below: an n-gram seen in training has its Good-Turing discounted relative frequency; else its
+    context's backoff weight times the probability of order n - 1, down to the word's discounted unigram probability, an
+    unknown word's being what the discounts free; a context that was not seen has weight 1. The first token's context is
+    the text's start, the next one's the start and it. For each context the probabilities of all known words and the unknown
+    one sum to 1. base_score: unigrams with 0.5 added to each count. Null text is empty and has the end only. Without
+    training rows every word is unknown; an empty table gives no rows. Repeated rows stay repeated; other columns are not
+    looked at. Words are told apart by 64-bit hashes. A block and a bucket are in a task's memory: a bucket has about as
+    many n-grams as set below, and one more per block for an n-gram that all blocks have. model_path keeps the model's
+    tables there, by order and bucket, in packed form.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    spark, put = docs.sparkSession, Scratch()
+    kind = docs.schema[id_col].dataType
     arrow_id = to_arrow_type(kind)
-    hashes = F.transform(words_white(F.col(text_col)), lambda w: F.xxhash64(w))
-    fed = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), hashes.alias("h"))
-    made = fed.mapInArrow(blocker(block_tokens, arrow_id), f"block long, ids array<{kind.simpleString()}>, train array<boolean>, sizes array<long>, tokens binary, words array<long>, counts array<long>, train_tokens long, train_docs long")
-    name = f"katz_blocks_{uuid.uuid4().hex}"
-    n_parts = partitions(spark)
-    # by block in the warehouse, so that answers come to the blocks and not the other way round
-    with batches_of(spark, 1000):
-        made.write.bucketBy(n_parts, "block").saveAsTable(name)
-    blocks = spark.table(name)
-    tokens, train_docs, n_words = (x or 0 for x in blocks.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum(F.size("words"))).first())
-    asked = blocks.select("block", "words", "counts").mapInArrow(word_requests(bits_for(n_words, 250_000)), "bucket long, block long, words array<long>, counts array<long>")
-    words = written(asked.groupBy("bucket").applyInArrow(word_answers(tokens // HEAVY), "block long, bucket long, totals array<long>, words array<long>, heavy array<long>, stats array<long>"), "katzwords", 1)
-    del asked
-    released(spark)
-    own = words.where("block < 0")
-    stats = [r["s"] for r in own.select(F.posexplode("stats").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()] or [0] * (GT + 2)
-    types, uni = stats[0], Unigrams(np.array([0, *stats[1:]]), tokens)
-    heavy = np.array([r["w"] for r in own.select(F.explode("heavy").alias("w")).collect()], np.int64).view(np.uint64)  # fewer than HEAVY
-    if train_docs * HEAVY > tokens:
-        heavy = np.append(heavy, START)
-
-    def told(answers: DataFrame, *names: str) -> DataFrame:
-        """Answers of each block in the order asked."""
-        got = answers.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", *names))).alias("x"))
-        return got.select("block", *[F.flatten(F.col(f"x.{n}")).alias(n) for n in names])
-
-    known = blocks.join(told(words, "totals"), "block")
-    ready = known.select("block", "train", "sizes", "tokens", "words", "totals")
-    bits = bits_for(n_words * 4, 500_000)
-    form = "block long, bucket long, counts array<long>, few array<long>, many array<long>, p1 array<double>, contexts array<long>, words array<long>, stats array<long>"
-    pairs = ready.mapInArrow(pair_requests(train_docs, heavy, bits, cutoff), "bucket long, block long, n_entries long, n_pairs long, contexts binary, runs binary, words binary, counts binary, totals binary")
-    pairs = written(pairs.groupBy("bucket").applyInArrow(pair_answers(uni, heavy, cutoff), form), "katzpairs", 1)
-    released(spark)
-    own = pairs.where("block < 0")
-    n = [r["s"] for r in own.select(F.posexplode("stats").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()] or [0] * (GT + 1)
-    d = good_turing(np.array([0, *n]))
-    width = GT + 1 - cutoff
-    parts = own.where(F.size("many") > 0).select(F.posexplode(F.slice("contexts", F.lit(1), F.size("many"))).alias("i", "context"), "few", "many", "p1")
-    parts = parts.groupBy("context").agg(*[F.sum(F.get("few", F.col("i") * width + j)).alias(f"f{j}") for j in range(width)], F.sum(F.get("many", F.col("i"))).alias("many"), F.sum(F.get("p1", F.col("i"))).alias("p1")).collect()
-    parts.sort(key=lambda r: r["context"] % (1 << 64))
-    sums = {"context": [r["context"] % (1 << 64) for r in parts], "few": [[r[f"f{j}"] for j in range(width)] for r in parts], "many": [r["many"] for r in parts], "p1": [r["p1"] for r in parts]}
-    missing = sorted(set(heavy.tolist()) - set(sums["context"]))
-    if missing:  # heavy contexts without kept pairs
-        every = sorted([*zip(*sums.values(), strict=True), *[(x, [0] * width, 0, 0.0) for x in missing]])
-        sums = dict(zip(sums, map(list, zip(*every, strict=True)), strict=True))
-    if model_path:
-        own.select("bucket", F.slice("contexts", F.size("many") + 1, F.size("words")).alias("contexts"), "words", "counts").write.partitionBy("bucket").parquet(f"{model_path}/pairs")
-        words.where("block < 0").select("bucket", "words", F.col("totals").alias("counts")).write.partitionBy("bucket").parquet(f"{model_path}/words")
-    full = known.join(told(pairs.withColumnRenamed("counts", "pair_counts"), "pair_counts", "few", "many", "p1"), "block", "left")
-    none = F.array().cast("array<long>")
-    full = full.select("block", "ids", "train", "sizes", "tokens", "words", "totals", *[F.coalesce(c, none).alias(c) for c in ("pair_counts", "few", "many")], F.coalesce("p1", F.array().cast("array<double>")).alias("p1"))
-    out = written(full.mapInArrow(scores(uni, tokens, types, train_docs, sums, d, bits, cutoff, arrow_id), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katzscores", 1)
-    spark.sql(f"DROP TABLE {name}")
-    forget(words), forget(pairs)
-    return out.withColumnRenamed("id", id_col)
+    fed = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    made = fed.mapInArrow(blocker(block_tokens, arrow_id), f"block long, ids array<{kind.simpleString()}>, train array<boolean>, sizes array<long>, tokens binary, words binary, counts binary, n_words long, n_tokens long, train_tokens long, train_docs long")
+    tables: list = []
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        """df as a table by block, so that answers come to the blocks and not the other way round; replaces the one before."""
+        name = f"katz_blocks_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name}"
+        tables.append((name, path))
+        with batches_of(spark, BATCH_BYTES):
+            df.write.bucketBy(partitions(spark), "block").option("path", path).saveAsTable(name)
+        for old in tables[:-1]:
+            dropped(old)
+        del tables[:-1]
+        return spark.table(name)
+
+    def dropped(table: tuple) -> None:
+        found = spark.table(table[0]) if spark.catalog.tableExists(table[0]) else docs
+        spark.sql(f"DROP TABLE IF EXISTS {table[0]}")
+        found.written_to = table[1]
+        forget(found)
+
+    def told(state: DataFrame, got: DataFrame, k: int) -> DataFrame:
+        """The blocks with their answers of order k."""
+        return state.join(got.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "parts")).alias(f"answers{k}")), "block", "left")
+
+    def stored(got: DataFrame, k: int, skip: int) -> None:
+        if model_path:
+            got.where("block < 0").select("bucket", F.slice("parts", F.lit(skip), F.size("parts")).alias("parts")).write.partitionBy("bucket").parquet(f"{model_path}/order={k}")
+
+    try:
+        state = bucketed(made)
+        tokens, train_docs, n_words, n_tokens = (x or 0 for x in state.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum("n_words"), F.sum("n_tokens")).first())
+        bits = bits_for(n_words, 250_000)
+        model = {"train_docs": train_docs, "tokens": tokens, "threshold": max(tokens, 1) / HEAVY, "bits": [bits] + [bits_for(n_tokens, 1_500_000)] * order, "discounts": {}, "spread": {}}
+        asked = state.select("block", "words", "counts").mapInArrow(word_requests(bits), PARTS)
+        got = put(asked.groupBy("bucket").applyInArrow(word_answers(bits), PARTS), "katz1")
+        del asked
+        released(spark)
+        own = [r["parts"] for r in got.where("block < 0").select(F.get("parts", F.lit(0)).alias("parts")).toLocalIterator()]  # TOP words and a few numbers a bucket
+        own = [unpack(x) for x in own]
+        stats = sum((x[0] for x in own), np.zeros(GT + 2, np.int64))
+        model |= {"types": int(stats[0]), "uni": Unigrams(np.array([0, *stats[1:]]), tokens)}
+        top = np.zeros(TOP + 1, np.int64)
+        for _, number, total in own:
+            top[number[number <= TOP]] = total[number <= TOP]
+        stored(got, 1, 2)
+        kept = "block long, ids array<{0}>, train array<boolean>, sizes array<long>, tokens binary, numbers binary, totals binary".format(kind.simpleString())
+        kinds = [pa.int64(), pa.list_(arrow_id), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        schema = pa.schema([(c.split()[0], t) for c, t in zip(kept.split(", "), kinds, strict=True)])
+        state = bucketed(told(state.select("block", "ids", "train", "sizes", "tokens"), got, 1).mapInArrow(renumbered(schema), kept))
+        put.clear()
+        released(spark)
+        uni = model["uni"]
+        mass = lambda word, lower: uni(np.where(word <= TOP, top[np.minimum(word, TOP)], lower))
+        for k in range(2, order + 1):
+            asked = state.drop("ids").mapInArrow(requests(model), PARTS)
+            got = put(asked.groupBy("bucket").applyInArrow(answers(k, mass), PARTS), f"katz{k}")
+            del asked
+            released(spark)
+            sums = got.where("block < 0").select("parts").mapInArrow(own_sums(k), "what array<long>, values array<double>")
+            sums = sums.select("what", F.posexplode("values").alias("i", "v")).groupBy("what", "i").agg(F.sum("v").alias("v")).groupBy("what").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
+            sums = {tuple(r["what"]): [x["v"] for x in r["v"]] for r in sums.collect()}  # fewer than HEAVY contexts
+            d = good_turing(np.array([0, *sums.pop((), [0] * (GT + 1))]))
+            model["discounts"][k], model["spread"][k] = d, sums
+            stored(got, k, 2)
+            mass = lambda word, lower, d=d: discounted(lower, d)
+            state = told(state, got, k)
+            if k < order:
+                state = bucketed(state)
+                put.clear()
+                released(spark)
+        return put.result(state.mapInArrow(scores(model, arrow_id), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katzscores").withColumnRenamed("id", id_col)
+    finally:
+        for table in tables:
+            dropped(table)
+        put.clear()
