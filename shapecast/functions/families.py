@@ -508,6 +508,101 @@ _numeric("DEL", "mu:log sigma:log nu:logit", _delaporte, lambda s: {"mu": max(s[
 _numeric("DPO", "mu:log sigma:log", _double_poisson, lambda s: {"mu": max(s["m"], 0.05), "sigma": max(s["v"] / max(s["m"], 1e-6), 0.2)})
 
 
+# --- extensions: normalised here where the usual short forms are not ----------------------------------------------------
+
+
+def _sep1(y, mu, sigma, nu, tau):
+    skew = where(y < mu, exp(nu), exp(-nu))
+    return log(tau) - log(sigma) - log_sum(nu, -nu) - lgamma(1 / tau) - (absolute((y - mu) / sigma) * skew) ** tau
+
+
+def _sep(y, mu, sigma, nu, tau):
+    return -log(sigma) - log(nu + 1 / nu) - lgamma(1 + 1 / tau) - (absolute((y - mu) / sigma) * where(y < mu, nu, 1 / nu)) ** tau
+
+
+for _name in ("SEP1", "SEP2", "SEP4"):
+    _f(_name, "Continuous", "mu:identity sigma:log nu:identity tau:log", _sep1, start=lambda s: loc(s, nu=0.0, tau=1.8), status="experimental")
+_f("SEP", "Continuous", "mu:identity sigma:log nu:log tau:log", _sep, start=lambda s: loc(s, nu=1.0, tau=1.8), status="experimental")
+_f("RGE", "Continuous", "mu:identity sigma:log nu:log", lambda y, mu, sigma, nu: nu * log(nu) - lgamma(nu) - log(sigma) - nu * (y - mu) / sigma - nu * exp(-(y - mu) / sigma), start=lambda s: loc(s, nu=1.0), status="experimental")
+
+
+def _lqno(y, mu, sigma, nu):
+    """The log response's tanh(nu z) is a standard normal cut at -1 and 1."""
+    q = tanh(nu * (log(y) - mu) / sigma)
+    return log(nu) + log(maximum(1 - q * q, 1e-300)) - 0.5 * q * q - log(sigma) - log(y) - 0.5 * LOG_2PI - math.log(math.erf(1 / math.sqrt(2)))
+
+
+_f("LQNO", "Continuous", "mu:log sigma:log nu:log", _lqno, "positive", start=lambda s: {"mu": max(s["lm"], 1e-3), "sigma": max(math.sqrt(max(s["lv"], 1e-9)), 1e-3), "nu": 0.7}, status="experimental")
+_f("PARETO1O", "Continuous", "mu:log sigma:log", lambda y, mu, sigma: where(mu < y, log(sigma) + sigma * log(mu) - (sigma + 1) * log(y), wrap(-math.inf)), "positive", cdf=lambda y, mu, sigma: where(mu < y, 1 - exp(sigma * log(mu / y)), wrap(0.0)), quantile=lambda p, mu, sigma: mu * exp(-log(1 - p) / sigma), start=lambda s: {"mu": 0.5 * math.exp(s["lm"]), "sigma": 1.0})
+_f("LOGSHASHO", "Continuous", "mu:identity sigma:log nu:identity tau:log", lambda y, mu, sigma, nu, tau: _shasho(log(y), mu, sigma, nu, tau) - log(y), "positive", cdf=lambda y, mu, sigma, nu, tau: ndtr(sinh(tau * asinh((log(y) - mu) / sigma) - nu)), start=lambda s: {"mu": s["lm"], "sigma": max(math.sqrt(s["lv"]), 1e-3), "nu": 0.0, "tau": 1.0})
+
+
+def _cut(sigma, nu):
+    """log of the normal's probability of a positive response under a Box-Cox transformation."""
+    return log_ndtr(1 / (sigma * maximum(absolute(nu), 1e-9)))
+
+
+_f("BCCGO", "Continuous", "mu:log sigma:log nu:identity", lambda y, mu, sigma, nu: _bc(_bcg, 0)(y, mu, sigma, nu) - _cut(sigma, nu), "positive", start=bc_start)
+
+
+def _dpo1(y, mu, sigma):
+    """Double Poisson with Efron's approximate constant."""
+    safe = where(zero(y), 1.0, y)
+    ly = where(zero(y), wrap(0.0), log(safe))
+    return -0.5 * log(sigma) - mu / sigma - y + y * ly - lgamma(y + 1) + y * (1 + log(mu) - ly) / sigma - log(1 + (sigma - 1) / (12 * mu) * (1 + sigma / mu))
+
+
+_f("DPO1", "Discrete", "mu:log sigma:log", _dpo1, "count", start=lambda s: {"mu": max(s["m"], 0.05), "sigma": max(s["v"] / max(s["m"], 1e-6), 0.2)}, status="experimental")
+
+
+def log_zeta(s, terms: int = 12):
+    """log of Riemann's zeta function at s > 1 by Euler and Maclaurin."""
+    n = float(terms)
+    total = 1 + n * exp(-s * math.log(n)) / (s - 1) + 0.5 * exp(-s * math.log(n))
+    for k in range(2, terms):
+        total = total + exp(-s * math.log(k))
+    total = total + exp(-s * math.log(n)) * (s / (12 * n) - s * (s + 1) * (s + 2) / (720 * n**3) + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) / (30240 * n**5))
+    return log(total)
+
+
+def _zipf(y, mu):
+    return -(mu + 1) * log(y) - log_zeta(mu + 1)
+
+
+_f("ZIPF", "Discrete", "mu:log", _zipf, "count1", start=lambda s: {"mu": 1 / max(s["lm"], 0.2)})
+_f("ZAZIPF", "Discrete", "mu:log sigma:logit", zero_altered(_zipf, None, "sigma"), "count", start=lambda s: {"mu": 1 / max(s["lm"], 0.2), "sigma": unit(s["p0"])})
+_f("GENERALISEDPOISSON", "Discrete", "mu:log sigma:logit", lambda y, mu, sigma: log(mu * (1 - sigma)) + (y - 1) * log(mu * (1 - sigma) + sigma * y) - mu * (1 - sigma) - sigma * y - lgamma(y + 1), "count", mean=lambda mu, sigma: mu, start=lambda s: {"mu": max(s["m"], 0.05), "sigma": unit(1 - math.sqrt(max(s["m"], 1e-6) / max(s["v"], 1e-6))) if s["v"] > s["m"] else 0.05})
+_numeric("PIG2", "mu:log sigma:log", lambda y, mu, sigma: _sichel(y, mu, sigma / mu, np.float64(-0.5), scaled=False), lambda s: {"mu": max(s["m"], 0.05), "sigma": max(s["v"] / max(s["m"], 1e-6) - 1, 0.05)})
+_numeric("DELAPORT", "mu:log sigma:log nu:log", lambda y, mu, sigma, nu: _delaporte(y, mu, sigma**2, 1 / (1 + sigma * nu)), lambda s: {"mu": max(s["m"], 0.05), "sigma": math.sqrt(over(s)), "nu": 1.0})
+
+
+def _gig(y, mu, sigma, nu):
+    chi, psi = 1 / sigma**2, 1 / (mu * sigma) ** 2
+    return (nu - 1) * np.log(y) - 0.5 * (chi / y + psi * y) - log_bessel_k(nu, np.sqrt(chi * psi)) - 0.5 * nu * np.log(chi / psi) - math.log(2)
+
+
+register("GIG", Family("GIG", "Continuous", {"mu": "log", "sigma": "log", "nu": "identity"}, None, "positive", np_logpdf=_gig, start=lambda s: {"mu": max(s["m"], 1e-6), "sigma": cv(s) / math.sqrt(max(s["m"], 1e-9)), "nu": -0.5}))
+
+
+def _np_zero(log_f, p, altered):
+    """A numeric log density with a mass at 0: altered, or inflated."""
+    def make(y, **q):
+        rest = {k: v for k, v in q.items() if k != p}
+        at_zero = log_f(np.zeros(np.shape(y)), **rest)
+        with np.errstate(all="ignore"):
+            if altered:
+                return np.where(y <= 0, np.log(q[p]), np.log(1 - q[p]) + log_f(np.maximum(y, 1), **rest) - np.log1p(-np.exp(at_zero)))
+            return np.where(y <= 0, np.logaddexp(np.log(q[p]), np.log(1 - q[p]) + at_zero), np.log(1 - q[p]) + log_f(y, **rest))
+
+    return make
+
+
+for _name, _p in (("PIG", "nu"), ("SICHEL", "tau")):
+    for _kind in ("ZI", "ZA"):
+        _b = _REGISTRY[_name]
+        register(f"{_kind}{_name}", replace(_b, name=f"{_kind}{_name}", links=_b.links | {_p: "logit"}, np_logpdf=_np_zero(_b.np_logpdf, _p, _kind == "ZA"), start=lambda s, b=_b, p=_p, k=_kind: b.start(s) | {p: unit(s["p0"] * (1.0 if k == "ZA" else 0.7))}))
+
+
 # --- builders -----------------------------------------------------------------------------------------------------------
 
 
@@ -519,14 +614,16 @@ def from_logpdf(name: str, links: dict[str, str], logpdf: Callable[..., E], kind
 def zero_inflated(base: str | Family, name: str | None = None) -> Family:
     """pi + (1 - pi) f(0) at 0; adds the parameter pi."""
     b = resolve(base)
-    return replace(b, name=name or f"ZI{b.name}", kind="Mixed" if b.kind == "Continuous" else "Discrete", links=b.links | {"pi": "logit"}, logpdf=zero_inflated_(b.logpdf, "pi"), cdf=None, quantile=None, mean=None, variance=None, start=lambda s: b.start(s) | {"pi": unit(0.7 * s["p0"])})
+    made = {"logpdf": zero_inflated_(b.logpdf, "pi")} if b.logpdf else {"np_logpdf": _np_zero(b.np_logpdf, "pi", False)}
+    return replace(b, name=name or f"ZI{b.name}", kind="Mixed" if b.kind == "Continuous" else "Discrete", links=b.links | {"pi": "logit"}, **made, cdf=None, quantile=None, mean=None, variance=None, start=lambda s: b.start(s) | {"pi": unit(0.7 * s["p0"])})
 
 
 def hurdle(base: str | Family, name: str | None = None) -> Family:
     """Mass pi at 0; the base, cut at 0 if it is discrete, for the positive values."""
     b = resolve(base)
     at_zero = (lambda **q: b.logpdf(wrap(0.0), **q)) if b.kind == "Discrete" else None
-    return replace(b, name=name or f"HU{b.name}", kind="Mixed" if b.kind == "Continuous" else "Discrete", links=b.links | {"pi": "logit"}, logpdf=zero_altered(b.logpdf, at_zero, "pi"), cdf=None, quantile=None, mean=None, variance=None, start=lambda s: b.start(s) | {"pi": unit(s["p0"])})
+    made = {"logpdf": zero_altered(b.logpdf, at_zero, "pi")} if b.logpdf else {"np_logpdf": _np_zero(b.np_logpdf, "pi", True)}
+    return replace(b, name=name or f"HU{b.name}", kind="Mixed" if b.kind == "Continuous" else "Discrete", links=b.links | {"pi": "logit"}, **made, cdf=None, quantile=None, mean=None, variance=None, start=lambda s: b.start(s) | {"pi": unit(s["p0"])})
 
 
 def finite_mixture(components: list[str | Family], name: str | None = None) -> Family:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from .expr import E, clip, diff, exp, log, ndtr, ndtri, sqrt, var, wrap
+from .expr import E, absolute, clip, diff, exp, log, log1p, maximum, ndtr, ndtri, sqrt, var, wrap
 
 #: Predictors of log-type and logit-type links are kept in this range; identity and the others are not.
 ETA_MAX = 30.0
@@ -44,6 +44,7 @@ LINKS = {
         Link("inverse", lambda m: 1 / m, lambda e: 1 / e),
         Link("1/mu^2", lambda m: 1 / (m * m), lambda e: 1 / sqrt(e)),
         Link("sqrt", sqrt, lambda e: e * e),
+        Link("softplus", lambda m: m + log(1 - exp(-m)), lambda e: maximum(e, 0.0) + log1p(exp(-absolute(e)))),
         Link("logshift2", lambda m: log(m - 2), lambda e: 2 + exp(_bounded(e))),
         Link("logshift1", lambda m: log(m - 1), lambda e: 1 + exp(_bounded(e))),
     )

@@ -49,7 +49,7 @@ def test_links_invert(name):
     assert get_link(name.upper()) is link
 
 
-@pytest.mark.parametrize("name", [n for n in list_families() if n not in ("BCCG", "BCT", "BCPE")])
+@pytest.mark.parametrize("name", [n for n in list_families() if n not in ("BCCG", "BCT", "BCPE", "DPO1")])  # not cut at 0, and by an approximate constant
 def test_densities_are_normalised(name):
     f = resolve(name)
     q = parameters(f)
