@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Levels of a factor, of which each but one is a column.
+MOST_LEVELS = 10_000
 SMOOTHERS = ("pb", "ps", "cs", "s", "te", "ti", "tps")
 
 
@@ -222,7 +224,7 @@ def _spline(term: Term, info: dict) -> Block:
 
 
 def _natural_cubic(term: Term, info: dict) -> Block:
-    """Natural cubic regression spline by truncated powers, penalised by its second differences."""
+    """Natural cubic regression spline by truncated powers, penalised by the integral of its squared second derivative."""
     low, high = info[term.args[0]]
     k = int(term.options.get("k", 10))
     x, knots = expression(term.args[0]), np.linspace(low, high, k)
@@ -236,11 +238,28 @@ def _natural_cubic(term: Term, info: dict) -> Block:
         return (cube(knots[j]) - cube(knots[-1])) / ((knots[-1] - knots[j]) / scale)
 
     cols = [(x - F.lit(low)) / scale] + [d(j) - d(k - 2) for j in range(k - 2)]
-    pen = np.zeros((k - 1, k - 1))
-    pen[1:, 1:] = np.eye(k - 2)
+    # second derivatives are linear between knots: two Gauss points in each interval are exact
+    s = (knots - low) / scale
+    mid, half = (s[1:] + s[:-1]) / 2, (s[1:] - s[:-1]) / 2
+    at = np.concatenate([mid - half / np.sqrt(3), mid + half / np.sqrt(3)])
+    second = lambda j: (np.maximum(at - s[j], 0) - np.maximum(at - s[-1], 0)) * 6 / (s[-1] - s[j])
+    b = np.stack([np.zeros(len(at))] + [second(j) - second(k - 2) for j in range(k - 2)], axis=1)
+    pen = (b * np.concatenate([half, half])[:, None]).T @ b
     return Block(term.label, "cs", [f"{term.label}_{j + 1}" for j in range(k - 1)], cols, [pen], term.options)
 
 
+def null_space(a: np.ndarray) -> np.ndarray:
+    """Orthonormal columns z with a z = 0."""
+    return np.linalg.svd(a)[2][np.linalg.matrix_rank(a) :].T
+
+
+def spline_means(k: int) -> np.ndarray:
+    """Means over the range of the k cubic B-splines on equally spaced knots."""
+    x = (np.arange(4000) + 0.5) / 4000 * (k - 3)
+    u = np.abs(x[:, None] - (np.arange(k) - 1))
+    return np.where(u < 1, (4 - 6 * u**2 + 3 * u**3) / 6, np.where(u < 2, (2 - np.minimum(u, 2)) ** 3 / 6, 0)).mean(axis=0)
+
+
 def _tensor(term: Term, info: dict) -> Block:
     opts = term.options
     ks = opts.get("k_list") or [int(opts.get("k", 5))] * len(term.args)
@@ -249,16 +268,17 @@ def _tensor(term: Term, info: dict) -> Block:
         low, high = info[v]
         pad = 0.01 * (high - low)
         more, pen = _marginal(v, low - pad, high + pad, int(k))
-        if term.kind == "ti":  # without the constant: each basis function minus the last
-            more = [c - more[-1] for c in more[:-1]]
-            pen = np.eye(len(more), int(k)) @ pen @ np.eye(int(k), len(more))
+        if term.kind == "ti":  # combinations whose mean over the range is 0, so that main effects are no part of the product
+            z = null_space(spline_means(int(k))[None])
+            more = [sum((F.lit(float(z[i, j])) * c for i, c in enumerate(more)), F.lit(0.0)) for j in range(z.shape[1])]
+            pen = z.T @ pen @ z
         pens = [np.kron(p, np.eye(len(more))) for p in pens] + [np.kron(np.eye(len(cols or [1])), pen)]
         cols = [a * b for a in cols for b in more] if cols else more
     return Block(term.label, term.kind, [f"{term.label}_{j + 1}" for j in range(len(cols))], cols, pens, opts)
 
 
 def _thin_plate(term: Term, info: dict) -> Block:
-    """Radial functions on a grid of knots: r^3 in one dimension, r^2 log r in two, r in three."""
+    """Radial functions on a grid of knots: r^3 in one dimension, r^2 log r in two, -r in three; of their combinations those that no linear function is part of, penalised by the bending energy."""
     dims, k = len(term.args), int(term.options.get("k", 10 if len(term.args) == 1 else 16))
     side = max(2, round(k ** (1 / dims)))
     axes = [np.linspace(*info[v], side) for v in term.args]
@@ -267,18 +287,18 @@ def _thin_plate(term: Term, info: dict) -> Block:
 
     def radial(r2):
         r = F.sqrt(r2)
-        return r2 * r if dims == 1 else F.when(r2 > 0, 0.5 * r2 * F.log(r2)).otherwise(0.0) if dims == 2 else r
+        return r2 * r if dims == 1 else F.when(r2 > 0, 0.5 * r2 * F.log(r2)).otherwise(0.0) if dims == 2 else -r
 
     xs = [expression(v) for v in term.args]
     cols = [(x - F.lit(float(info[v][0]))) / s for x, v, s in zip(xs, term.args, scales, strict=True)]
-    for t in knots:
-        cols.append(radial(sum(((x - F.lit(float(c))) / s) * ((x - F.lit(float(c))) / s) for x, c, s in zip(xs, t, scales, strict=True))))
+    near = [radial(sum(((x - F.lit(float(c))) / s) * ((x - F.lit(float(c))) / s) for x, c, s in zip(xs, t, scales, strict=True))) for t in knots]
     z = knots / np.array(scales)
     r2 = ((z[:, None] - z[None]) ** 2).sum(-1)
-    e = r2**1.5 if dims == 1 else np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0) if dims == 2 else np.sqrt(r2)
-    w, v = np.linalg.eigh(e)
-    pen = np.zeros((dims + len(knots),) * 2)
-    pen[dims:, dims:] = v @ np.diag(np.abs(w)) @ v.T
+    e = r2**1.5 if dims == 1 else np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0) if dims == 2 else -np.sqrt(r2)
+    free = null_space(np.concatenate([np.ones((1, len(z))), (z - z.mean(axis=0)).T]))
+    cols += [sum((F.lit(float(free[i, j])) * c for i, c in enumerate(near)), F.lit(0.0)) for j in range(free.shape[1])]
+    pen = np.zeros((len(cols),) * 2)
+    pen[dims:, dims:] = free.T @ e @ free
     return Block(term.label, "tps", [f"{term.label}_{j + 1}" for j in range(len(cols))], cols, [pen], term.options)
 
 
@@ -313,6 +333,11 @@ def learn(df: DataFrame, formulas: list[Formula]) -> tuple[dict, dict]:
     factors = {a for t, a in named if t.kind == "factor"}
     factors |= {m[1] for t, a in named if t.kind == "interaction" and (m := re.fullmatch(r"factor\((\w+)\)", a))}
     smooth = {a for f in formulas for t in f.terms if t.kind in SMOOTHERS for a in t.args}
+    if factors:
+        sizes = df.agg(*[F.approx_count_distinct(F.col(g).cast("string")).alias(g) for g in sorted(factors)]).first()
+        for g in sorted(factors):
+            if sizes[g] > MOST_LEVELS:
+                raise FormulaError(f"factor({g}) has about {sizes[g]} levels; {MOST_LEVELS} at most")
     wanted = [F.array_sort(F.collect_set(F.col(g).cast("string"))).alias(f"l_{g}") for g in sorted(factors)]
     wanted += [x for v in sorted(smooth) for x in (F.min(expression(v)).alias(f"lo_{v}"), F.max(expression(v)).alias(f"hi_{v}"))]
     if not wanted:
@@ -325,7 +350,12 @@ def _pieces(text: str, levels: dict) -> list[tuple[str, Column]]:
     m = re.fullmatch(r"factor\((\w+)\)", text)
     if not m:
         return [(text, expression(text))]
-    return [(f"{text}{v}", (F.col(m[1]).cast("string") == F.lit(v)).cast("double")) for v in levels[m[1]][1:]]
+    g = F.col(m[1]).cast("string")
+    seen = levels[m[1]]
+    unseen = F.concat(F.lit(f"unseen_level: {m[1]} has a level that the fit didn't see: "), g)
+    cols = [(f"{text}{v}", (g == F.lit(v)).cast("double")) for v in seen[1:]]
+    # the first column checks; a null level stays null
+    return [(n, F.when(g.isin(seen), c).when(g.isNotNull(), F.raise_error(unseen).cast("double")) if i == 0 else c) for i, (n, c) in enumerate(cols)]
 
 
 def design(formula: Formula, levels: dict, ranges: dict) -> Design:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,8 +102,17 @@ class ModelRegistry:
             return self.spark.createDataFrame([], schema)
 
     def put(self, name: str, model: Model) -> None:
+        if not re.fullmatch(r"[\w.-]+", name):
+            raise ValueError(f"{name!r}: letters, digits, _ . and - only")
         save_model(model, self.spark, f"{self.folder}/{name}")
-        self.spark.sql("select current_timestamp() at").selectExpr(f"'{name}' name", "at", f"'{model.family.name}' family", f"cast({float(model.deviance)!r} as double) deviance").write.mode("append").parquet(f"{self.folder}/index")
+        self.spark.createDataFrame([(name, model.family.name, float(model.deviance))], "name string, family string, deviance double").selectExpr("name", "current_timestamp() at", "family", "deviance").write.mode("append").parquet(f"{self.folder}/index")
+        for old in self._index().groupBy("name").agg({"at": "max"}).withColumnRenamed("max(at)", "at").orderBy("at", ascending=False).offset(self.most).collect():
+            self._delete(old["name"])
+
+    def _delete(self, name: str) -> None:
+        """Deletes a model's folder; the index keeps its rows, and list() leaves out what is gone."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def list(self) -> DataFrame:
         return self._index().groupBy("name").agg({"at": "max"}).withColumnRenamed("max(at)", "at").orderBy("at", ascending=False).limit(self.most)
