@@ -180,3 +180,105 @@ def gamlss_cv(formula: str, data: DataFrame, family="NO", folds: int = 10, fold:
     finally:
         df.unpersist()
     return {"cv": sum(parts), "folds": dict(zip(ids, parts, strict=True))}
+
+
+#: Groups of families for the search by steps.
+GROUPS = {
+    "normal": ["NO", "LO", "GU", "RG"], "heavy": ["TF", "PE", "GT"], "skew": ["SN1", "SN2", "EXGAUS", "JSU", "SHASHO"], "positive": ["EXP", "GA", "IG", "LOGNO", "WEI"],
+    "positive_shape": ["GG", "BCCG", "BCT", "BCPE", "GB2"], "unit": ["BE", "LOGITNO", "SIMPLEX"], "count": ["PO", "GEOM", "NBI", "NBII"], "count_zero": ["ZIP", "ZIP2", "ZAP", "ZINBI"],
+}
+
+
+def _allowed_groups(kind: str) -> list[str]:
+    return {"realline": ["normal", "heavy", "skew"], "realplus": ["positive", "positive_shape", "normal"], "real0to1": ["unit"], "counts": ["count", "count_zero"]}[kind]
+
+
+def stepwise_distribution_selection(formula: str, data: DataFrame, groups: dict[str, list[str]] | None = None, criterion: float | str = "AIC", **options) -> dict:
+    """The first family of each group by criterion, then all families of the best group: {"best", "group", "groups", "families"}."""
+    groups = groups or {g: GROUPS[g] for g in _allowed_groups(data_type(data, parse(formula).response))}
+    first = compare_distributions(formula, data, [x[0] for x in groups.values()], criterion, **options)
+    of = {resolve(x[0]).name: g for g, x in groups.items()}
+    group = of[first[0]["family"]]
+    rest = compare_distributions(formula, data, groups[group][1:], criterion, **options) if groups[group][1:] else []
+    families = sorted([first[0], *rest], key=lambda r: (r["criterion"], r["family"]))
+    return {"best": families[0]["model"], "group": group, "groups": first, "families": families}
+
+
+def compare_by_validation(formula: str, data: DataFrame, newdata: DataFrame, families=None, parallel: int = 4, **options) -> list[dict]:
+    """A row per family fitted on data, the smallest deviance of newdata first and failures last."""
+    fits = compare_distributions(formula, data, families, "AIC", parallel, **options)
+    for r in fits:
+        r["validation"] = math.inf
+        if r["model"] is not None:
+            value = test_deviance(r["model"], newdata)
+            r["validation"] = value if value is not None and math.isfinite(value) else math.inf
+    return sorted(fits, key=lambda r: (r["validation"], r["family"]))
+
+
+def _split(data: DataFrame, rand: str | None, newdata: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    if (rand is None) == (newdata is None):
+        raise ValueError("give either rand, a column of 1 (fit) and 2 (validation), or newdata")
+    return (data.where(F.col(rand) == 1), data.where(F.col(rand) == 2)) if rand else (data, newdata)
+
+
+def gamlss_ml_pred(data: DataFrame, column: str, family="NO", rand: str | None = None, newdata: DataFrame | None = None, **options) -> dict:
+    """An intercept-only fit on one part, and its deviance on the other: {"model", "validation", "n"}."""
+    train, test = _split(data, rand, newdata)
+    m = gamlss(f"{column} ~ 1", train, family, vcov=False, **options)
+    return {"model": m, "validation": test_deviance(m, test), "n": test.count()}
+
+
+def fit_dist_pred(data: DataFrame, column: str, type: str | None = None, rand: str | None = None, newdata: DataFrame | None = None, extra=(), **options) -> list[dict]:
+    """Intercept-only fits of the candidates of a kind, ranked by the deviance of rows that weren't fitted."""
+    train, test = _split(data, rand, newdata)
+    names = [*dict.fromkeys([*CANDIDATES[type or data_type(train, column)], *extra])]
+    return compare_by_validation(f"{column} ~ 1", train, test, names, **options)
+
+
+def choose_dist_pred(model: Model, type: str | None = None, rand: str | None = None, newdata: DataFrame | None = None, extra=(), **options) -> list[dict]:
+    """A fitted model's formulas with other families, ranked by the deviance of rows that weren't fitted."""
+    train, test = _split(model.data, rand, newdata)
+    names = [*dict.fromkeys([*CANDIDATES[type or data_type(train, model.response)], *extra])]
+    f = _formulas(model)
+    given = {p: "~" + x.split("~")[1] for p, x in f.items() if p != model.parameters[0]}
+    rows = []
+    for name in names:
+        own = {p: x for p, x in given.items() if p in resolve(name).parameters}
+        rows += compare_by_validation(f[model.parameters[0]], train, test, [name], parameter_formula=own, weights=model.weights, **options)
+    return sorted(rows, key=lambda r: (r["validation"], r["family"]))
+
+
+def vgd(*fits: dict) -> list[dict]:
+    """Results of gamlss_vgd or gamlss_ml_pred by validation deviance: (index, family, df, validation)."""
+    rows = [{"index": i, "family": f["model"].family.name, "df": f["model"].df_fit, "validation": f.get("vgd", f.get("validation"))} for i, f in enumerate(fits)]
+    return sorted(rows, key=lambda r: (r["validation"], r["index"]))
+
+
+def _all(model: Model, parameters, one) -> list[dict]:
+    rows = [r for p in parameters or model.parameters for r in one(p)]
+    return sorted(rows, key=lambda r: (r["value"], r["parameter"], r["change"]))
+
+
+def dropterm_all(model: Model, parameters=None, k: float = 2.0) -> list[dict]:
+    """dropterm over the terms of all parameters, in one table."""
+    return _all(model, parameters, lambda p: dropterm(model, None, p, k) if model.designs[p].formula.terms else [])
+
+
+def addterm_all(model: Model, scope, parameters=None, k: float = 2.0) -> list[dict]:
+    return _all(model, parameters, lambda p: addterm(model, scope, p, k))
+
+
+def drop1_tgd_all(model: Model, newdata: DataFrame, parameters=None) -> list[dict]:
+    return _all(model, parameters, lambda p: drop1_tgd(model, newdata, None, p) if model.designs[p].formula.terms else [])
+
+
+def add1_tgd_all(model: Model, newdata: DataFrame, scope, parameters=None) -> list[dict]:
+    return _all(model, parameters, lambda p: add1_tgd(model, newdata, scope, p))
+
+
+def drop1_tgdp(model: Model, newdata: DataFrame, parameter: str = "mu") -> list[dict]:
+    return drop1_tgd(model, newdata, None, parameter)
+
+
+def add1_tgdp(model: Model, newdata: DataFrame, scope, parameter: str = "mu") -> list[dict]:
+    return add1_tgd(model, newdata, scope, parameter)
