@@ -115,7 +115,7 @@ def pit_histogram_lo(spark, sf):
 
 def qq_ranks(spark, sf):
     c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    r, _ = diagnose.ranked(c.withColumn("k", F.struct("c_acctbal", "c_custkey")), "k")
+    r, _ = diagnose.ranked(c, ["c_acctbal", "c_custkey"])
     return r.select("c_custkey", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -277,3 +277,9 @@ ORACLES = {
     "fit_groups_price": "with g as (select l_returnflag, regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a from lineitem group by 1) select l_returnflag, '(Intercept)' term, round(a, 2) estimate from g union all select l_returnflag, 'l_quantity', round(b, 2) from g",
     "fit_ga_total": "select round(avg(o_totalprice), 2) mu from orders",
 }
+
+from . import queries_families as _families  # noqa: E402
+from . import queries_models as _models  # noqa: E402
+
+QUERIES |= _families.QUERIES | _models.QUERIES
+ORACLES |= _families.ORACLES | _models.ORACLES
