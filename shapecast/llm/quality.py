@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word n-grams, of target text (labelled good) and of raw text (the whole corpus), give each
-document the log ratio of its probabilities. Documents under a limit fitted on labelled rows are rejected; from the others a
-Gumbel top-k draws without replacement, in proportion to the ratio.
+document the log ratio of its probabilities. A Gumbel top-k draws documents without replacement, in proportion to their
+importance weights; how many it draws follows from a limit fitted on labelled rows.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def ratios(counts: DataFrame, a: float = 0.5, evidence: float = 24.0) -> DataFra
 def scorer(at: np.ndarray, value: np.ndarray, bits: int):
     """Arrow batches (id, good, text) to (id, good, log_ratio, apart). at, value: buckets and their ratio, not_good, not_bad.
 
-    apart: a labelled row's log ratio by the ratios without that row.
+    log_ratio: the mean over a text's distinct n-grams, as sums would weigh a long text's chance differences. apart: a labelled row's log ratio by the ratios without that row.
     """
     def run(batches):
         ratio = np.zeros((3, 1 << bits), np.float32)
@@ -114,10 +114,11 @@ def scorer(at: np.ndarray, value: np.ndarray, bits: int):
             for first, last, flat, edges in slices(batch.column(2)):
                 ids, doc = features(flat, edges, bits)
                 if len(ids):
-                    score[first:last] = np.bincount(doc, ratio[0, ids], last - first)
+                    n = np.maximum(np.bincount(doc, minlength=last - first), 1)
+                    score[first:last] = np.bincount(doc, ratio[0, ids], last - first) / n
                     mine = labels[first + doc]
                     known = mine >= 0
-                    apart[first:last] = np.bincount(doc[known], ratio[2 - mine[known], ids[known]], last - first)
+                    apart[first:last] = np.bincount(doc[known], ratio[2 - mine[known], ids[known]], last - first) / n
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(apart, pa.float64())], ["id", "good", "log_ratio", "apart"])
 
     return run
@@ -141,16 +142,20 @@ def kth_largest(df: DataFrame, key: str, k: int, levels: int = 6, step: int = 10
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None, max_labelled: int = 1_000_000, bits: int = 20, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None, length: float = 1000.0, max_labelled: int = 1_000_000, bits: int = 20, seed: int = 1) -> DataFrame:
     """One row per document: id, log_ratio, accepted, gumbel_key, kept.
 
     labels: (id, quality, toxic); good is quality 1 and not toxic, a null toxic counts as 0, a null quality as no label; of
     several labels of a document the worst holds. The models are fitted on at most max_labelled labels, those with the
-    smallest hashes; the raw model's counts cover every document. accepted: the ratio reaches a limit under which the most
-    labelled rows are told apart, each scored by ratios without it; rejecting a good one costs twice. kept: accepted and, if keep is given, among so many largest
-    log_ratio + Gumbel noise (ties at the last place are all kept); the noise is a hash of the id, so reruns agree. A null
-    or empty text has ratio 0. Without labels of both kinds everything is accepted. Repeated rows stay repeated. Other
-    columns are not looked at. The fitted vectors have 2 ** bits entries whatever the input.
+    smallest hashes; the raw model's counts cover every document. log_ratio is a document's mean over its distinct n-grams.
+    accepted: it reaches a limit under which the most labelled rows are told apart, each scored by ratios without it;
+    rejecting a good one costs twice. kept: of all documents among the `keep` with the largest gumbel_key, which is length *
+    log_ratio + Gumbel noise (ties at the last place are all kept), that is drawn without replacement with the importance
+    weight that a text of `length` such n-grams has; keep is by default the number of accepted documents. The noise is a hash
+    of the id, so reruns agree, and rows that repeat an id have the same. A null or empty text has ratio 0. Without labels
+    of both kinds everything is accepted, and kept. An empty table gives no rows. A text is counted as a whole,
+    and fits in a task's memory. Repeated rows stay repeated. Other columns are not looked at. The fitted vectors
+    have 2 ** bits entries whatever the input.
     """
     spark = docs.sparkSession
     good = F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).when(F.col("quality").isNotNull(), 0)
@@ -180,8 +185,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         if gain[best] > 0:
             limit = float(x[best] + x[best + 1]) / 2 if best + 1 < len(x) else float("inf")
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    out = scored.withColumn("accepted", F.col("log_ratio") > limit).withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(u)))
-    kept = F.col("accepted")
-    if keep is not None and out.where("accepted").count() > keep:
-        kept = kept & (F.col("gumbel_key") >= (kth_largest(out.where("accepted"), "gumbel_key", keep) if keep > 0 else float("inf")))
-    return out.select(F.col("id").alias(id_col), "log_ratio", "accepted", "gumbel_key", kept.alias("kept"))
+    out = scored.withColumn("accepted", F.col("log_ratio") > limit).withColumn("gumbel_key", length * F.col("log_ratio") - F.log(-F.log(u)))
+    n, n_accepted = out.agg(F.count("*"), F.count(F.when(F.col("accepted"), 1))).first()
+    keep = n_accepted if keep is None else keep
+    least = float("-inf") if keep >= n else kth_largest(out, "gumbel_key", keep) if keep > 0 else float("inf")
+    return out.select(F.col("id").alias(id_col), "log_ratio", "accepted", "gumbel_key", (F.col("gumbel_key") >= least).alias("kept"))
