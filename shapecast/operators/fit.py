@@ -379,9 +379,10 @@ def alternating(data, beta, control: Control, designs: dict[str, Design], criter
     lams = {p: [1.0] * len(pens[p]) for p in params}
     trace, last, previous, n = [], None, None, data.moments()["n"]
     step_from: dict[str, np.ndarray] = {}
+    ahead = None  # the sums that gave a cycle's deviance are those of the next cycle's first step
     for it in range(1, control.cycles + 1):
         for p in params:
-            s = data.sums(beta, (p,), working=True)
+            s, ahead = ahead or data.sums(beta, (p,), working=True), None
             halved = 0
             while last is not None and previous is not None and not pens[previous] and s.loglik < last - 1e-8 * (1 + abs(last)) and halved < control.halvings:
                 beta[previous] = (beta[previous] + step_from[previous]) / 2
@@ -394,7 +395,8 @@ def alternating(data, beta, control: Control, designs: dict[str, Design], criter
             step_from[p] = beta[p].copy()
             beta = beta | {p: solve(s.info + total, s.xz)}
             previous = p
-        now = data.sums(beta, (params[0],), working=True).loglik
+        ahead = data.sums(beta, (params[0],), working=True)
+        now = ahead.loglik
         trace.append((it, -2 * now))
         if len(trace) > 1 and abs(trace[-1][1] - trace[-2][1]) <= max(control.tol, 1e-6 if any(pens.values()) else 0) * (0.1 + abs(trace[-1][1])):
             return beta, lams, it, True, trace
@@ -565,10 +567,11 @@ def fit_local(family, y, xs: dict[str, np.ndarray] | None = None, w=None, fixed=
     return beta, -2 * s.loglik, ok
 
 
-def fit_groups(data: DataFrame, by: str, formula: str, family="NO", sigma_formula: str | None = None, nu_formula: str | None = None, tau_formula: str | None = None) -> DataFrame:
+def fit_groups(data: DataFrame, by: str, formula: str, family="NO", sigma_formula: str | None = None, nu_formula: str | None = None, tau_formula: str | None = None, task_rows: int = 1_000_000) -> DataFrame:
     """Independent fits of many groups: (by, parameter, term, estimate, deviance, converged).
 
-    Each group is one task's work, so groups have to fit into a task; for one large group use gamlss with a factor.
+    A group of up to task_rows rows is one task's work. Larger ones, of which there are at most so many times fewer than
+    rows, are fitted one after another by distributed sums, so that no task gets a large group. A null group takes no part.
     """
     fam = resolve(family)
     formulas = parameter_formulas(formula, fam.parameters, {"sigma": sigma_formula, "nu": nu_formula, "tau": tau_formula})
@@ -589,7 +592,19 @@ def fit_groups(data: DataFrame, by: str, formula: str, family="NO", sigma_formul
             beta, dev, ok = {p: np.full(len(n), np.nan) for p, n in names.items()}, float("nan"), False
         return pd.DataFrame([(key[0], p, t, float(b), float(dev), bool(ok)) for p, n in names.items() for t, b in zip(n, beta[p], strict=True)], columns=["g", "parameter", "term", "estimate", "deviance", "converged"])
 
-    out = data.select(F.col(by), y.alias("__y"), *cols).dropna().groupBy(by).applyInPandas(one, f"g {kind}, parameter string, term string, estimate double, deviance double, converged boolean")
+    schema = f"g {kind}, parameter string, term string, estimate double, deviance double, converged boolean"
+    large = [r[0] for r in data.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > task_rows).select(by).collect()]
+    rest = data.where(~F.col(by).isin(large)) if large else data
+    out = rest.select(F.col(by), y.alias("__y"), *cols).dropna().groupBy(by).applyInPandas(one, schema)
+    rows = []
+    for g in large:
+        try:
+            m = fit_designs(data.where(F.col(by) == F.lit(g)), fam, designs, vcov=False)
+            rows += [(g, p, t, float(b), float(m.deviance), bool(m.converged)) for p, n in names.items() for t, b in zip(n, m.coefficients[p], strict=True)]
+        except (ValueError, np.linalg.LinAlgError):
+            rows += [(g, p, t, float("nan"), float("nan"), False) for p, n in names.items() for t in n]
+    if rows:
+        out = out.unionByName(data.sparkSession.createDataFrame(rows, schema))
     return out.withColumnRenamed("g", by)
 
 

@@ -100,19 +100,6 @@ def score_no(spark, sf):
     return _one(spark, log_score=round(score.log_score(m, li), 5), dss=round(score.dss(m, li), 5))
 
 
-def score_interval_lo(spark, sf):
-    """Logistic with given parameters on orders: coverage and interval score of the central 80 %."""
-    o = _t(spark, sf, "orders").select(F.col("o_totalprice").alias("y"))
-    lo, hi = (140000 + 40000 * math.log(p / (1 - p)) for p in (0.1, 0.9))
-    return o.agg(F.avg(((F.col("y") >= lo) & (F.col("y") <= hi)).cast("double")).alias("coverage"), (F.avg(F.lit(hi - lo) + 10 * (F.greatest(lo - F.col("y"), F.lit(0.0)) + F.greatest(F.col("y") - hi, F.lit(0.0))))).alias("score")).select(F.round("coverage", 6).alias("coverage"), F.round("score", 1).alias("score"))
-
-
-def pit_histogram_lo(spark, sf):
-    o = _t(spark, sf, "orders")
-    c = dist.cdf_column("LO", F.col("o_totalprice"), {"mu": F.lit(140000.0), "sigma": F.lit(40000.0)})
-    return o.groupBy(F.floor(c * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
 def qq_ranks(spark, sf):
     c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal")
     r, _ = diagnose.ranked(c, ["c_acctbal", "c_custkey"])
@@ -197,7 +184,7 @@ def bootstrap_counts(spark, sf):
 
 
 def fit_groups_price(spark, sf):
-    g = fit.fit_groups(_t(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice ~ l_quantity", "NO").where("parameter = 'mu'")
+    g = fit.fit_groups(_t(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice ~ l_quantity", "NO", task_rows=20_000).where("parameter = 'mu'")
     return g.select("l_returnflag", "term", F.round("estimate", 2).alias("estimate"))
 
 
@@ -213,7 +200,7 @@ def fit_ga_total(spark, sf):
 
 def fit_dist_acctbal(spark, sf):
     rows = select.fit_dist(_t(spark, sf, "supplier"), "s_acctbal", "realline")
-    return spark.createDataFrame([(r["family"], float(min(r["criterion"], 1e12))) for r in rows], "family string, gaic double")
+    return spark.createDataFrame([(r["family"], r["criterion"] if math.isfinite(r["criterion"]) else None) for r in rows], "family string, gaic double")
 
 
 def worm_no(spark, sf):
@@ -242,7 +229,7 @@ def bootstrap_exp(spark, sf):
     return spark.createDataFrame([(b, "mu", float(x[0])) for b, x in enumerate(est)], "boot long, parameter string, estimate double")
 
 
-QUERIES = {f.__name__: f for f in (fit_no_price, fit_no_rs, fit_no_factor, fit_exp_value, fit_po_quantity, fit_logno_total, fit_geom_lines, fit_bi_quality, gaic_rank, lr_nested, predict_params_no, predict_quantiles_logno, score_no, score_interval_lo, pit_histogram_lo, qq_ranks, acf_events, q_stats_intervals, cv_folds, ridge_price, gram_part, links_part, densities_part, cdfs_part, densities_gamma, gaic_weights_orders, bootstrap_counts, fit_groups_price, fit_smooth_price, fit_ga_total, fit_dist_acctbal, worm_no, summary_no, vuong_orders, centile_check_logno, bootstrap_exp)}
+QUERIES = {f.__name__: f for f in (fit_no_price, fit_no_rs, fit_no_factor, fit_exp_value, fit_po_quantity, fit_logno_total, fit_geom_lines, fit_bi_quality, gaic_rank, lr_nested, predict_params_no, predict_quantiles_logno, score_no, qq_ranks, acf_events, q_stats_intervals, cv_folds, ridge_price, gram_part, links_part, densities_part, cdfs_part, densities_gamma, gaic_weights_orders, bootstrap_counts, fit_groups_price, fit_smooth_price, fit_ga_total, fit_dist_acctbal, worm_no, summary_no, vuong_orders, centile_check_logno, bootstrap_exp)}
 
 _NO = "select regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a from lineitem"
 _SD = f"select a, b, sqrt(avg((l_extendedprice - a - b * l_quantity) ^ 2)) s from lineitem, ({_NO}) group by a, b"
@@ -260,8 +247,6 @@ ORACLES = {
     "predict_params_no": f"select l_orderkey, l_linenumber, round(a + b * l_quantity, 2) mu, round(s, 2) sigma from lineitem, ({_SD})",
     "predict_quantiles_logno": "select round(avg(ln(o_totalprice)), 5) log_median from orders",
     "score_no": f"select round(avg(0.5 * ln(2 * pi()) + ln(s) + (l_extendedprice - a - b * l_quantity) ^ 2 / (2 * s * s)), 5) log_score, round(avg(((l_extendedprice - a - b * l_quantity) / s) ^ 2 + 2 * ln(s)), 5) dss from lineitem, ({_SD})",
-    "score_interval_lo": "with q as (select 140000 + 40000 * ln(0.1 / 0.9) lo, 140000 + 40000 * ln(0.9 / 0.1) hi) select round(avg(case when o_totalprice between lo and hi then 1.0 else 0.0 end), 6) coverage, round(avg(hi - lo + 10 * (greatest(lo - o_totalprice, 0) + greatest(o_totalprice - hi, 0))), 1) score from orders, q",
-    "pit_histogram_lo": "select floor(10 / (1 + exp(-(o_totalprice - 140000) / 40000)))::int bin, count(*) n from orders group by 1",
     "qq_ranks": "select c_custkey, row_number() over (order by c_acctbal, c_custkey) as rank from customer",
     "acf_events": "with m as (select avg(value) m, var_pop(value) v, count(*) n from events), e as (select row_number() over (order by event_id) i, value - m d from events, m), k as (select unnest(range(1, 11)) lag) select lag::int lag, round(sum(x.d * y.d) / any_value(n * v), 6) acf from k, e x, e y, m where y.i = x.i + lag group by lag",
     "q_stats_intervals": "with m as (select min(l_quantity) lo, max(l_quantity) hi from lineitem) select (1 + (l_quantity >= lo + (hi - lo) / 4)::int + (l_quantity >= lo + (hi - lo) / 2)::int + (l_quantity >= lo + (hi - lo) * 3 / 4)::int)::int as interval, count(*) n, round(avg(l_extendedprice), 2) mean, round((avg(l_discount ^ 3) - 3 * avg(l_discount) * avg(l_discount ^ 2) + 2 * avg(l_discount) ^ 3) / var_pop(l_discount) ^ 1.5, 5) skew from lineitem, m group by 1",
