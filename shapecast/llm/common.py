@@ -92,10 +92,10 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, to be broadcast if its counted rows are few; a shuffle join otherwise."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= most else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 @contextlib.contextmanager
