@@ -200,26 +200,7 @@ def fit_ga_total(spark, sf):
 
 def fit_dist_acctbal(spark, sf):
     rows = select.fit_dist(_t(spark, sf, "supplier"), "s_acctbal", "realline")
-    return spark.createDataFrame([(r["family"], r["criterion"] if math.isfinite(r["criterion"]) else None) for r in rows], "family string, gaic double")
-
-
-def worm_no(spark, sf):
-    m = fit.gamlss("c_acctbal ~ 1", _t(spark, sf, "customer"), "NO")
-    return diagnose.worm_data(m)
-
-
-def summary_no(spark, sf):
-    return spark.createDataFrame([tuple(r.values()) for r in stats.summary(_no(spark, sf))], "parameter string, term string, estimate double, se double, z double, p double")
-
-
-def vuong_orders(spark, sf):
-    o = _t(spark, sf, "orders")
-    r = stats.vuong_clarke_test(fit.gamlss("o_totalprice ~ 1", o, "EXP"), fit.gamlss("o_totalprice ~ 1", o, "LOGNO"))
-    return _one(spark, **{k: (int(v) if k in ("n", "clarke_b") else float(v)) for k, v in r.items()})
-
-
-def centile_check_logno(spark, sf):
-    return diagnose.centile_check(fit.gamlss("o_totalprice ~ 1", _t(spark, sf, "orders"), "LOGNO"))
+    return spark.createDataFrame([(r["family"], float(r["criterion"]) if math.isfinite(r["criterion"]) else None) for r in rows], "family string, gaic double")
 
 
 def bootstrap_exp(spark, sf):
@@ -229,7 +210,7 @@ def bootstrap_exp(spark, sf):
     return spark.createDataFrame([(b, "mu", float(x[0])) for b, x in enumerate(est)], "boot long, parameter string, estimate double")
 
 
-QUERIES = {f.__name__: f for f in (fit_no_price, fit_no_rs, fit_no_factor, fit_exp_value, fit_po_quantity, fit_logno_total, fit_geom_lines, fit_bi_quality, gaic_rank, lr_nested, predict_params_no, predict_quantiles_logno, score_no, qq_ranks, acf_events, q_stats_intervals, cv_folds, ridge_price, gram_part, links_part, densities_part, cdfs_part, densities_gamma, gaic_weights_orders, bootstrap_counts, fit_groups_price, fit_smooth_price, fit_ga_total, fit_dist_acctbal, worm_no, summary_no, vuong_orders, centile_check_logno, bootstrap_exp)}
+QUERIES = {f.__name__: f for f in (fit_no_price, fit_no_rs, fit_no_factor, fit_exp_value, fit_po_quantity, fit_logno_total, fit_geom_lines, fit_bi_quality, gaic_rank, lr_nested, predict_params_no, predict_quantiles_logno, score_no, qq_ranks, acf_events, q_stats_intervals, cv_folds, ridge_price, gram_part, links_part, densities_part, cdfs_part, densities_gamma, gaic_weights_orders, bootstrap_counts, fit_groups_price, fit_smooth_price, fit_ga_total, fit_dist_acctbal, bootstrap_exp)}
 
 _NO = "select regr_slope(l_extendedprice, l_quantity) b, regr_intercept(l_extendedprice, l_quantity) a from lineitem"
 _SD = f"select a, b, sqrt(avg((l_extendedprice - a - b * l_quantity) ^ 2)) s from lineitem, ({_NO}) group by a, b"
