@@ -68,7 +68,7 @@ def written(df: DataFrame, what: str, batch: int = BATCH_BYTES) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors. batch: see batches_of."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     with batches_of(df.sparkSession, batch):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # Snappy's buffers are outside the heap and stay until it is collected
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

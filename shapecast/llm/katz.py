@@ -532,7 +532,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         path = f"{shared_dir(spark)}/{name}"
         tables.append((name, path))
         with batches_of(spark, BATCH_BYTES):
-            df.write.bucketBy(partitions(spark), "block").option("path", path).saveAsTable(name)
+            df.write.bucketBy(partitions(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
         for old in tables[:-1]:
             dropped(old)
         del tables[:-1]
