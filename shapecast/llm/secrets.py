@@ -19,7 +19,7 @@ KINDS = [
     ("hex", "[0-9a-f]{16}", "[0-9a-f]{16,}", 16),
     ("github", "gh[pousr]_[A-Za-z0-9]{30}", "gh[pousr]_[A-Za-z0-9]{30,}", 34),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 28),
-    ("pem", "-----BEGIN", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\n\r]{0,8192}", 30),
+    ("pem", "-----BEGIN", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\n\r]*", 30),
 ]
 
 
@@ -42,12 +42,13 @@ def _spans(text: Column, kind: int) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_col: str | None = None, example_owners: int = 3) -> DataFrame:
-    """One row per document: id, spans (array of start, end, kind, name, value_hash, owners, repos, copied), in code points, end exclusive.
+    """One row per document: id, spans (array of start, end, kind, name, value_hash, owners, repos, copied, live), in code points, end exclusive.
 
     owners and repos say in how many distinct owners and repositories the value occurs; copied: in example_owners owners
-    or more. Where repo_col is None a document is its own repository; a null owner is an owner. Within a kind matches are
-    leftmost and do not overlap, also where a match is dropped for its length. Null text is empty. Repeated rows stay
-    repeated. Only the values' SHA-256 leaves the scan. The frequencies are joined to the candidates in two parts: values
+    or more, as examples are; live: in one owner only, so the owner's own. Where repo_col is None a document is its own repository; a null owner is an owner. Within a kind matches are
+    leftmost and do not overlap, also where a match is dropped for its length; spans are whole, however long. Null and empty
+    texts have none, an empty table gives no rows. Repeated rows stay repeated, and are the same owner's. Other columns are
+    not looked at, whatever their names. Only the values' SHA-256 leaves the scan. The frequencies are joined to the candidates in two parts: values
     with more than a thousandth of all candidates, of which there are at most a thousand, are broadcast; the rest shuffles.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -68,8 +69,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns = ["row", "start", "end", "kind", "name", "value_hash"]
     rest = marked.where("o is null").select(*columns).join(cold, "value_hash").select(*columns, "owners", "repos")
     known = marked.where("o is not null").select(*columns, F.col("o").alias("owners"), F.col("r").alias("repos")).unionByName(rest)
-    per_doc = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "name", "value_hash", "owners", "repos", (F.col("owners") >= example_owners).alias("copied")))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string,value_hash:string,owners:bigint,repos:bigint,copied:boolean>>")
+    per_doc = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "name", "value_hash", "owners", "repos", (F.col("owners") >= example_owners).alias("copied"), (F.col("owners") == 1).alias("live")))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string,value_hash:string,owners:bigint,repos:bigint,copied:boolean,live:boolean>>")
     have = scanned.where("row is not null").select("id", "row").join(per_doc, "row")
     return have.select(F.col("id").alias(id_col), "spans").unionByName(scanned.where("row is null").select(F.col("id").alias(id_col), none.alias("spans")))
 
