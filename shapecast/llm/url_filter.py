@@ -3,7 +3,8 @@
 A host turned around, with a dot at its end (`www.example.org` -> `org.example.www.`), makes "this host and all its
 subdomains" a prefix, and so an interval from `org.example.` to `org.example/` ("/" follows "."). Rule hosts nest or are
 disjoint; the rules that hold at a key are those on the stack after the last interval border at or before it. Rows and
-borders are sorted together within (first label, salt); a window carries the last border's stack to each row.
+borders are sorted together within (first label, salt); a window carries the last border's stack to each row. A rule's path
+can't be part of the key, as the labels of subdomains stand between host and path; it is compared with the rules on the stack.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, partitions
+from .common import LOWER, UPPER, Scratch, partitions, small, written
 
 
 def _reversed(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+def _top(key):
+    """First label of a key."""
+    first = F.substring_index(key, ".", 1)
+    return F.when(first == key, F.regexp_replace(key, "/$", "")).otherwise(first)
+
+
 def borders(rules: DataFrame) -> DataFrame:
     """(key, stack) for each start and end of a rule host's interval; stack: the rules that hold from there on."""
     r = rules.where("host is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
@@ -41,17 +48,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     counts as empty. A null url, or one without ://, has empty host and path and gets the default verdict. Repeated rows
     stay repeated. Other columns are not looked at.
 
-    The rule table is copied once per salt, so that a host with a third of all pages spreads over all tasks; salts grow
-    with the number of shuffle partitions.
+    A first label with more than a task's share of the pages is split by a hash into so many salts that each part has about
+    a share; only the rules under such a label are copied, once per salt. `salts` overrides the number for all labels.
     """
-    salts = salts or 4 * partitions(pages.sparkSession)
+    spark = pages.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
     p = pages.select(F.col(id_col).alias("id"), F.translate(F.regexp_extract(url, r"://([^/?#]*)", 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1).alias("path"))
-    p = p.withColumn("key", _reversed(F.col("host"))).withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(salts)).cast("int"))
-    b = borders(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    p = p.withColumn("key", _reversed(F.col("host"))).withColumn("top", _top(F.col("key")))
+    if salts is None:
+        shares = Scratch()
+        n = shares(p.groupBy("top").agg(F.count("*").alias("n")), "labels")
+        share = F.lit(max(1, (n.agg(F.sum("n")).first()[0] or 0) // partitions(spark)))
+        split = small(written(n.where(F.col("n") > share).select("top", F.ceil(F.col("n") / share).cast("int").alias("salts")), "hot"))
+        shares.clear()
+    else:
+        split = F.broadcast(p.select("top").limit(0).withColumn("salts", F.lit(1)))
+    parts = F.coalesce("salts", F.lit(salts or 1))
+    p = p.join(split, "top", "left").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), parts).cast("int")).drop("salts")
+    b = borders(rules).withColumn("top", _top(F.col("key"))).join(split, "top", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("salts")
     rows = p.withColumn("url_row", F.lit(1)).unionByName(b.withColumn("url_row", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("top", F.substring_index("key", ".", 1))
-    rows = rows.withColumn("top", F.when(F.col("top") == F.col("key"), F.regexp_replace("key", "/$", "")).otherwise(F.col("top")))
     w = W.partitionBy("top", "salt").orderBy("key", "url_row").rowsBetween(W.unboundedPreceding, 0)
     swept = rows.withColumn("active", F.last("stack", ignorenulls=True).over(w)).where("url_row = 1")
     best = F.array_max(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])))
