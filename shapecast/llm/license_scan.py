@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,6 +40,24 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mit", "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
 ]
 
 
@@ -47,7 +67,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Automaton:
-    """Suffix automaton of several token lists. ends[state]: template -> where the state's runs first end in it (from 1).
+    """Suffix automaton of several token lists. ends[state]: template -> where the state's runs end in it (from 1), in order.
 
     accepts[state]: (phrase, length) of the whole phrases among the suffixes of the state's longest run.
     """
@@ -56,7 +76,7 @@ class Automaton:
         self.vocab: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         self.lists = [[self.vocab.setdefault(w, len(self.vocab)) for w in x] for x in lists]
         for x in self.lists:
             last = 0
@@ -66,8 +86,8 @@ class Automaton:
             at = 0
             for i, token in enumerate(x, 1):
                 at = up = self.next[at][token]
-                while up > 0 and t not in self.ends[up]:
-                    self.ends[up][t] = i
+                while up > 0:
+                    self.ends[up].setdefault(t, []).append(i)
                     up = self.link[up]
         whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
         for p, x in enumerate(self.lists[:phrases]):
@@ -139,15 +159,16 @@ class Automaton:
         open_: dict[int, tuple[int, int, int, int]] = {}
         done = []
         for start, end, state in runs:
-            for t, upto in self.ends[state].items():
+            for t, ends in self.ends[state].items():
                 have, size = open_.get(t), end - start
-                if have and start - have[1] <= gap and upto > have[3]:
+                upto = next((e for e in ends if have and e > have[3]), None)
+                if have and start - have[1] <= gap and upto is not None:
                     fresh = min(size, upto - have[3], end - have[1])
                     open_[t] = (have[0], end, have[2] + max(fresh, 0), upto)
                     continue
                 if have:
                     done.append((t, *have[:3]))
-                open_[t] = (start, end, size, upto)
+                open_[t] = (start, end, size, ends[0])
         return done + [(t, *x[:3]) for t, x in open_.items()]
 
 
@@ -199,10 +220,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Base: every place where a phrase's words stand consecutively. spans: (label, start, end, covered) of chains of runs of
     `least` words or more, with at most `gap` words between them, that cover `cover` of their template. score: the part of
-    the text's words inside places and spans. Null text is empty, with score 0 and null first and last word. Rows are
-    handled one by one, so repeated rows stay repeated and other columns are not looked at; memory is one batch of texts
-    and an automaton of the templates.
+    the text's words inside places and spans. Null text is empty, with score 0 and null first and last word; an empty table
+    gives no rows. Rows are handled one by one, so repeated rows stay repeated, and other columns are not looked at. In
+    memory are a few megabytes of texts, or a single longer one, and an automaton of the templates.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(finder(list(phrases), list(templates), least, gap, cover), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, spans array<struct<label:string,start:long,end:long,covered:double>>, score double")
+    found = written(found, "licenses")
     return found.withColumnRenamed("id", id_col)
