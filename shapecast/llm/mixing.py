@@ -11,28 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_white, small, written
+from .common import count_white, forget, partitions, small, written
 
 #: Bits of the hash, and bits that one level of the histogram looks at.
 BITS, STEP = 60, 12
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
-    """(source, source_size, target) from (source, source_size).
+    """(source, source_size, target) from (source, source_size), as a written table.
 
     Sources in code point order, null last, get the weights in turn. The sum of all targets is share times all sizes; a
-    target stops at most times its source's size and the excess goes to the others by weight: with the sources in order
-    of limit / weight, one is at its limit if its part of what is left reaches the limit.
+    target stops at most times its source's size and the excess goes to the others by weight: again and again, those whose
+    part of what is left reaches their limit are full, until none is added. No task sorts all sources: they are numbered
+    within ranges, and shifted by the sizes of the ranges before.
     """
-    t = sizes.withColumn("r", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    t = t.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("r") - 1) % len(weights) + 1).cast("int"))).withColumn("lim", F.col("source_size") * most)
-    every = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    w = W.orderBy(F.col("lim") / F.col("w"), "r").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("total", F.sum("source_size").over(every) * share).withColumn("w_all", F.sum("w").over(every))
-    t = t.withColumn("lim_before", F.coalesce(F.sum("lim").over(w), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("w").over(w), F.lit(0.0)))
-    t = t.withColumn("full", F.col("lim") * (F.col("w_all") - F.col("w_before")) <= F.col("w") * (F.col("total") - F.col("lim_before")))
-    t = t.withColumn("rest", F.col("total") - F.sum(F.when(F.col("full"), F.col("lim")).otherwise(0.0)).over(every)).withColumn("w_rest", F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0.0)).over(every))
-    return t.select("source", "source_size", F.when(F.col("full"), F.col("lim")).otherwise(F.col("w") * F.col("rest") / F.when(F.col("w_rest") > 0, F.col("w_rest"))).alias("target"))
+    spark = sizes.sparkSession
+    ranges = written(sizes.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    shift, before = [(-1, 0)], 0
+    for r in ranges.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per range
+        shift.append((r["part"], before))
+        before += r["n"]
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) + F.col("before") - 1
+    t = ranges.join(F.broadcast(spark.createDataFrame(shift, "part int, before long")), "part").withColumn("r", place)
+    t = t.select("source", "source_size", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("r") % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * most).alias("lim"))
+    t = written(t, "weights")
+    left, w_left = t.agg(F.coalesce(F.sum("source_size") * share, F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    total = left
+    while True:
+        full = F.col("lim") * w_left <= F.col("w") * left
+        lim, w = t.agg(F.coalesce(F.sum(F.when(full, F.col("lim"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        if w == 0 or (total - lim, w) == (left, w_left):
+            break
+        left, w_left = total - lim, w
+    out = written(t.select("source", "source_size", F.when(full, F.col("lim")).otherwise(F.col("w") * left / w_left).alias("target")), "targets")
+    forget(ranges), forget(t)
+    return out
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
