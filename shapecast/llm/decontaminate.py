@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, let, small, words_alnum
+from . import common
+from .common import let, small, words_alnum
 
 
 def _kept(n: Column, grams: Column, window: int, k: int) -> Column:
@@ -38,8 +39,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A document
     word inside an occurrence of any window is hit. Null and empty texts have no words. A null item id counts as an empty
-    string. Repeated document rows each get their row; an empty benchmark leaves every document clean. Other columns are
-    not looked at. Hits are gathered per document, as many as it has words at most. The benchmark's windows are broadcast
+    string. Repeated document rows each get their row; an empty benchmark leaves every document clean; an empty table gives
+    no rows. A text of any length is one row, and its words fit in a task's memory. Other columns are not looked at. Hits are gathered per document, as many as it has words at most. The benchmark's windows are broadcast
     only if there are few of them; else both joins shuffle, with the words around each k-gram.
     """
     spark = docs.sparkSession
@@ -51,7 +52,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     prints = full.select(F.explode(F.transform(_kept(F.col("n"), F.col("g"), window, k), lambda p: F.get("g", p))).alias("print")).distinct()
     lens = wins.groupBy("wl").count().collect()  # at most `window` rows
     n_wins, short = sum(r["count"] for r in lens), sorted(r["wl"] for r in lens if r["wl"] < window)
-    few = n_wins <= BROADCAST_ROWS
+    few = n_wins <= common.BROADCAST_ROWS
 
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), words_alnum(F.col(text_col)).alias("words"))
     d = d.withColumn("n", F.size("words"))
@@ -60,14 +61,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     run = window - k + 1
     first = F.greatest(F.col("p") - (run - 1), F.lit(0))
     around = F.slice("words", first + 1, F.lit(2 * window - k))
-    # position -1 stands for the document itself
+    # position -1 stands for the document itself; in both joins it has a key of its own, which only one task gets
     each = g.select("id", "th", "n", "words", "g", F.explode(F.concat(F.array(F.lit(-1)), "kept")).alias("p"))
-    each = each.select("id", "th", "n", "p", F.when(F.col("p") >= 0, F.get("g", F.col("p"))).alias("print"), ("words" if few else around.alias("words")))
+    each = each.select("id", "th", "n", "p", F.when(F.col("p") >= 0, F.get("g", F.col("p"))).otherwise(F.xxhash64("id", "th")).alias("print"), ("words" if few else around.alias("words")))
     found = each.join(small(prints.withColumn("known", F.lit(True)), n_wins), "print", "left").where("p < 0 or known")
     at = F.when(F.col("p") < 0, F.array(F.lit(-1))).otherwise(F.sequence(first, F.least(F.col("p"), F.col("n") - window)))
     shift = F.lit(0) if few else first
     found = found.select("id", "th", "n", "words", shift.alias("shift"), F.explode(at).alias("s"))
-    text = F.when(F.col("s") >= 0, F.array_join(F.slice("words", F.col("s") - F.col("shift") + 1, F.lit(window)), " "))
+    text = F.when(F.col("s") >= 0, F.array_join(F.slice("words", F.col("s") - F.col("shift") + 1, F.lit(window)), " ")).otherwise(F.hex(F.xxhash64("id", "th")))
     found = found.select("id", "th", "n", "s", text.alias("wt"), F.lit(window).alias("wl"))
     if short:  # windows shorter than what winnowing covers are looked up at every position
         sizes = F.array(*[F.lit(x) for x in short])
