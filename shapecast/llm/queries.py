@@ -28,15 +28,16 @@ def op3_secrets(spark, sf_dir):
 
     out = scan_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] < 3)
+    have = lambda c: F.size(F.filter("spans", lambda x: x[c])).cast("long").alias(f"n_{c}")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: x["copied"])).cast("long").alias("n_copied"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), have("copied"), have("live"))
 
 
 def op4_katz(spark, sf_dir):
     from .katz import score_texts
 
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    return score_texts(_table(spark, sf_dir, "documents"), train, cutoff=1)
+    return score_texts(_table(spark, sf_dir, "documents"), train)
 
 
 def op5_mix(spark, sf_dir):
@@ -67,7 +68,8 @@ def op8_media(spark, sf_dir):
 def url_rules(spark):
     #: The rules of the query.
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    values = ", ".join("('" + "', '".join(x) + "')" for x in rules)
+    return spark.sql(f"select * from values {values} as t(host, path, verdict)")
 
 
 def op9_url_filter(spark, sf_dir):
@@ -88,7 +90,30 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash, op3_secrets,
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+
+
+def _secrets_sql() -> str:
+    """Matches and what is between them, whose lengths give the places."""
+    from .secrets import KINDS
+
+    parts = []
+    for k, (name, quick, pattern, least) in enumerate(KINDS):
+        p, q = (x.replace("'", "''") for x in (pattern, quick))
+        value = f"regexp_extract_all(t, '{p}', 2)" if name == "assign" else f"regexp_extract_all(t, '{p}', 0)"
+        parts.append(f"select rid, owner, {k} kind, '{name}' kname, {least} least, regexp_extract_all(t, '{p}', 0) m, {value} v, string_split_regex(t, '{p}') g from d where regexp_matches(t, '{q}')")
+    return f"""
+with d as (select row_number() over () rid, doc_id, coalesce(source, chr(1)) as owner, coalesce(text, '') t from documents),
+     k as ({' union all '.join(parts)}),
+     e as (select *, unnest(range(1, len(m) + 1)) i from k),
+     x as (select rid, owner, kind, kname, list_sum(list_transform(g[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0) s, len(m[i]) n, v[i] val from e where len(v[i]) >= least),
+     f as (select val, count(distinct owner) owners from x group by val),
+     y as (select x.*, kname || ':' || s::bigint || ':' || (s + n)::bigint as w, owners from x join f using (val)),
+     a as (select rid, sum((kind = 0)::int) n0, sum((kind = 1)::int) n1, sum((kind = 2)::int) n2, string_agg(w, ',' order by s, kind) filter (kind < 3) b, string_agg(w, ',' order by s, kind) w, sum((owners >= 3)::int) c, sum((owners = 1)::int) l from y group by rid)
+select doc_id, coalesce(n0, 0)::bigint n_assign, coalesce(n1, 0)::bigint n_access, coalesce(n2, 0)::bigint n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(w, '') spans, coalesce(c, 0)::bigint n_copied, coalesce(l, 0)::bigint n_live from d left join a using (rid)"""
+
+
 ORACLES = {
+    "op3_secrets": _secrets_sql(),
     "op1_decontaminate": f"""
 with d as (select doc_id, {_WORDS} w from documents),
      b as (select coalesce(item_id::varchar, '') item, {_WORDS} w from benchmark),

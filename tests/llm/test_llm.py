@@ -1,5 +1,6 @@
 """Each corpus operator against a brute-force version on small fixtures with nulls, empty and repeated rows."""
 
+import functools
 import hashlib
 import math
 import re
@@ -46,7 +47,9 @@ def docs(spark):
     return spark.createDataFrame(make(), SCHEMA).persist()
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination(spark, docs, monkeypatch, most):
+    monkeypatch.setattr("shapecast.llm.common.BROADCAST_ROWS", most)  # beyond it, joins shuffle
     rows = make()
     w = alnum(rows[5][1])
     items = [(1, " ".join(w[:12])), (2, "w1 w2"), (3, None), (4, ""), (None, " ".join(alnum(rows[6][1])[:10])), (5, " ".join(w[:12])), (6, "one")]
@@ -115,6 +118,34 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr("shapecast.llm.common.BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(str(x) for x in rng.integers(0, 10_000, 60))
+    a, b, c = text(), text(), text()
+    near = lambda t: t.rsplit(" ", 2)[0] + " zz"
+    rows = [(5, a), (5, b), (5, b), (3, near(b)), (None, c), (9, near(c)), (8, c), (None, a), (7, None), (6, ""), (4, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit(1)).withColumn("id", F.lit("x"))
+    got = sorted((str(r["doc_id"]), r["n_shingles"] > 0, str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(df, shingle=4).collect())
+    want = [("5", True, "5", True), ("5", True, "3", False), ("5", True, "3", False), ("3", True, "3", True), ("None", True, "None", False), ("9", True, "8", False), ("8", True, "8", True), ("None", True, "None", False), ("7", False, "7", True), ("6", False, "6", True), ("4", True, "4", True)]
+    assert got == sorted(want)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """One bucket with hundreds of texts, all edits of one, of which some are linked only through others."""
+    rng = np.random.default_rng(10)
+    base = [str(x) for x in rng.integers(0, 10_000, 120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for j in rng.integers(0, 120, rng.integers(0, 6)):
+            w[j] = f"e{rng.integers(0, 50)}"
+        rows.append((1000 - i, " ".join(w), "s", "", ""))
+    want = near_brute(rows, 4, 80)
+    got = {(r["doc_id"], r["text"]): (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).join(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"), "doc_id").collect()}
+    assert {x: got[x] for x in want} == want
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(e).collect()} == {i: 0 for i in range(21)} | {100: 100, 101: 100}
@@ -132,61 +163,94 @@ def test_secrets(spark):
     assert owners[hashlib.sha256(b"abcdefghijkl").hexdigest()] == 2
 
 
-def test_katz_is_normalised_and_agrees_with_counting(spark):
-    rows = [(i, t) for i, (_, t, *_) in enumerate(make(5, 80))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in katz.score_texts(df, F.col("doc_id") % 5 != 1, block_tokens=400).collect()}
-    toks = {i: white(t) + ["</s>"] for i, t in rows}
-    c1, c2, cc = Counter(), Counter(), Counter()
-    for i, w in toks.items():
-        if i % 5 != 1:
-            c1.update(w), c2.update(zip(["<s>", *w[:-1]], w, strict=True)), cc.update(["<s>", *w[:-1]])
-    n = sum(c1.values())
+def katz_brute(toks, held, order):
+    """Katz scores by counting, the sums of all probabilities after each seen context checked."""
     hist = lambda c: [0] + [Counter(c.values())[r] for r in range(1, 7)]
-    d1, d2 = katz.good_turing(hist(c1)), katz.good_turing(hist(c2))
-    uni = katz.Unigrams(np.array(hist(c1)), n)
-    p1 = lambda w: float(uni(np.array([c1[w]]))[0])
-    assert sum(map(p1, c1)) + uni.unknown == pytest.approx(1)
-    kept = defaultdict(dict)
-    for (h, w), c in c2.items():
-        if c >= 2:
-            kept[h][w] = c * (d2[c] if c <= 5 else 1)
-    total, alpha = {}, {}
-    for h, k in kept.items():
-        total[h] = cc[h] + (1 if cc[h] - sum(k.values()) < 1e-9 else 0)
-        alpha[h] = (1 - sum(k.values()) / total[h]) / (1 - sum(map(p1, k)))
-        assert sum(v / total[h] for v in k.values()) + alpha[h] * (sum(p1(w) for w in c1 if w not in k) + uni.unknown) == pytest.approx(1)
+    counts = [Counter() for _ in range(order + 1)]
+    grams = lambda w, k: [tuple((["<s>"] + w)[i - k + 2 : i + 2]) if k > 1 else (w[i],) for i in range(max(k - 2, 0), len(w))]
     for i, w in toks.items():
-        s = sum(math.log10(kept[h][x] / total[h] if x in kept.get(h, ()) else alpha.get(h, 1.0) * p1(x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))
-        assert got[i]["score"] == pytest.approx(s, rel=1e-9) and got[i]["n_tokens"] == len(w) and got[i]["train_tokens"] == n
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c1[x] + 0.5) / (n + 0.5 * (len(c1) + 1))) for x in w), rel=1e-9)
-    assert d1[0] == 0
+        if i not in held:
+            for k in range(1, order + 1):
+                counts[k].update(grams(w, k))
+    n = sum(counts[1].values())
+    uni = katz.Unigrams(np.array(hist(counts[1])), n)
+    d = [None, None] + [katz.good_turing(hist(c)) for c in counts[2:]]
+    after = [defaultdict(dict) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def context(h):
+        k = len(h) + 1
+        kept = {w: c * (d[k][c] if c <= 5 else 1) for w, c in after[k][h].items()}
+        total = sum(after[k][h].values())
+        total += total - sum(kept.values()) < 1e-9
+        return kept, total, (1 - sum(kept.values()) / total) / (1 - sum(prob(h[1:], w) for w in kept))
+
+    @functools.cache
+    def prob(h, w):
+        if not h:
+            return float(uni(np.array([counts[1][(w,)]]))[0])
+        if not after[len(h) + 1].get(h):
+            return prob(h[1:], w)
+        kept, total, alpha = context(h)
+        return kept[w] / total if w in kept else alpha * prob(h[1:], w)
+
+    vocab = [w for (w,) in counts[1]]
+    for k in range(1, order):
+        for h in list(after[k + 1])[:200]:
+            assert sum(prob(h, w) for w in vocab) + prob(h, None) == pytest.approx(1)
+    base = {i: sum(math.log10((counts[1][(x,)] + 0.5) / (n + 0.5 * (len(vocab) + 1))) for x in w) for i, w in toks.items()}
+    return {i: (sum(math.log10(prob(tuple((["<s>"] + w)[max(j - order + 2, 0) : j + 1]), x)) for j, x in enumerate(w)), base[i], len(w), sum((x,) in counts[1] for x in w), n) for i, w in toks.items()}
+
+
+@pytest.mark.parametrize(("order", "heavy"), [(2, 2000), (3, 2000), (3, 40), (4, 40)])
+def test_katz_agrees_with_counting(spark, monkeypatch, order, heavy):
+    monkeypatch.setattr(katz, "HEAVY", heavy)
+    monkeypatch.setattr(katz, "TOP", 8)
+    monkeypatch.setattr(katz, "bits_for", lambda items, each: 3)
+    rows = [(i, t) for i, (_, t, *_) in enumerate(make(5, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit("x"))
+    got = {r["doc_id"]: r for r in katz.score_texts(df, F.col("doc_id") % 5 != 1, order=order, block_tokens=400).collect()}
+    want = katz_brute({i: white(t) + ["</s>"] for i, t in rows}, {i for i, _ in rows if i % 5 == 1}, order)
+    for i, x in want.items():
+        assert (got[i]["score"], got[i]["base_score"]) == pytest.approx(x[:2], rel=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (*x[2:], i % 5 == 1)
+
+
+def test_katz_small_cases(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b a b"), (1, "a b a b"), (None, "a c"), (2, None), (3, "")], "doc_id long, text string")
+    out = katz.score_texts(df, F.lit(True), model_path=str(tmp_path / "model")).collect()
+    assert len(out) == 5 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1 and {r["n_tokens"] for r in out if r["doc_id"] in (2, 3)} == {1}
+    assert spark.read.parquet(str(tmp_path / "model/order=3")).count() > 0
+    none = katz.score_texts(df, F.lit(False)).collect()
+    assert len(none) == 5 and all(r["n_known"] == r["train_tokens"] == 0 for r in none)
     assert katz.score_texts(df.limit(0), F.lit(True)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("katz_blocks")]
 
 
-def test_katz_query_keeps_pairs_seen_once(spark, monkeypatch):
+def test_katz_query(spark, monkeypatch):
     from shapecast.llm import queries
 
     rows = [(i, t) for i, (_, t, *_) in enumerate(make(6, 60))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(queries, "_table", lambda *_: df)
     got = {r["doc_id"]: r["score"] for r in queries.op4_katz(spark, "").collect()}
-    toks = {i: white(t) + ["</s>"] for i, t in rows}
-    c1, c2, cc = Counter(), Counter(), Counter()
-    for i, w in toks.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c1.update(w), c2.update(zip(["<s>", *w[:-1]], w, strict=True)), cc.update(["<s>", *w[:-1]])
-    hist = lambda c: [0] + [Counter(c.values())[r] for r in range(1, 7)]
-    d2, uni = katz.good_turing(hist(c2)), katz.Unigrams(np.array(hist(c1)), sum(c1.values()))
-    p1 = lambda w: float(uni(np.array([c1[w]]))[0])
-    kept = defaultdict(dict)
-    for (h, w), c in c2.items():
-        kept[h][w] = c * (d2[c] if c <= 5 else 1)
-    total = {h: cc[h] + (cc[h] - sum(k.values()) < 1e-9) for h, k in kept.items()}
-    alpha = {h: (1 - sum(k.values()) / total[h]) / (1 - sum(map(p1, k))) for h, k in kept.items()}
-    for i, w in toks.items():
-        s = sum(math.log10(kept[h][x] / total[h] if x in kept.get(h, ()) else alpha.get(h, 1.0) * p1(x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))
-        assert got[i] == pytest.approx(s, rel=1e-9)
+    want = katz_brute({i: white(t) + ["</s>"] for i, t in rows}, {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}, 3)
+    assert got == pytest.approx({i: x[0] for i, x in want.items()}, rel=1e-9)
+
+
+def test_secrets_kinds_owners_and_whole_spans(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----" + "A" * 12_000
+    git, jwt = "ghp_" + "a1B2" * 9, "eyJhbGciOi12.eyJzdWIiOi12.c2lnbmF0dXJl"
+    rows = [(1, key, "a"), (2, f"x {git} y", "a"), (3, f"{git}", "b"), (4, jwt, None), (5, jwt, None), (6, f"{git} {jwt}", "c"), (6, f"{git} {jwt}", "c"), (None, None, "c"), (7, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("spans", F.lit(1)).withColumn("found", F.lit(2))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
+    assert [(s["name"], s["start"], s["end"]) for s in got[1]] == [("pem", 0, len(key))] and got[1][0]["live"]
+    assert [(s["name"], s["start"], s["end"], s["owners"], s["copied"], s["live"]) for s in got[2]] == [("github", 2, 42, 3, True, False)]
+    assert [(s["name"], s["owners"], s["live"]) for s in got[4]] == [("jwt", 2, False)]  # no owner is one owner, c another
+    assert got[None] == got[7] == [] and secrets.scan_secrets(df).count() == len(rows) and secrets.scan_secrets(df.limit(0)).count() == 0
 
 
 def test_mixing(docs):
@@ -214,7 +278,7 @@ def test_suffix_automaton_against_brute_force():
         places, runs = sam.scan(w, 1)
         assert sorted(places) == sorted((i, p) for p in range(3) for i in range(len(w)) if w[i : i + len(lists[p])] == lists[p])
         for a, b, state in runs:
-            assert all(lists[t][u - (b - a) : u] == w[a:b] for t, u in sam.ends[state].items()) and sam.ends[state]
+            assert sam.ends[state] == {t: u for t, x in enumerate(lists) if (u := [i for i in range(b - a, len(x) + 1) if x[i - (b - a) : i] == w[a:b]])}
 
 
 def test_license_scan(spark):
@@ -225,6 +289,22 @@ def test_license_scan(spark):
     assert got[4]["n_base"] == 2 and got[2]["first_word"] is None and 0 < got[4]["score"] <= 1
 
 
+def test_license_counts_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "the", "é", "MIT", "gpl"]
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 30))) for _ in range(60)] + [None, "", "All, rights; RESERVED"]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1), (None, texts[1], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels int")
+    out = license_scan.scan_licenses(df).collect()
+    assert len(out) == len(rows) and license_scan.scan_licenses(df.limit(0)).count() == 0
+    for r in out:
+        w = alnum(texts[1 if r["doc_id"] is None else r["doc_id"]])
+        places = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == sorted({x for _, x in places}) and set(r["base_labels"]) <= set(r["labels"]) and 0 <= r["score"] <= 1
+
+
 def test_license_scan_notice_that_another_template_continues(spark):
     texts = ["Licensed under the Apache License, Version 2.0. The full text is elsewhere", "x the apache license version 2.0 the license y"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -252,6 +332,59 @@ def test_quality_finds_planted_words(spark):
     assert quality.resample(df, lab.limit(0)).where("not kept").count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    import pyarrow as pa
+
+    from shapecast.llm.tokens import tokens
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"v{x}" for x in rng.zipf(1.4, rng.integers(0, 40)) if x < 300) + " vile" * (i % 4 == 0), i % 2) for i in range(120)]
+    rows += [rows[3], (500, None, 0), (501, "", 0), (502, "v1 " * 5000, 0), (None, "v1 v2 v3 v4 v5 v6", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gumbel_key int")
+    labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 120, 3)] + [(3, 1, 1), (3, 1, 0), (999, 1, 0)]
+    good = {}
+    for i, q, t in labels:
+        good[i] = min(good.get(i, 1), int(q == 1 and t == 0))
+    bits, mult, mask = 20, 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def grams(t):
+        w = [int(x) for x in tokens(pa.array([t], pa.string()))[0]]
+        out = {(x * mult & mask) >> 44 for x in w} | {((((a * mult & mask) ^ (b >> 7) ^ b) * mult) & mask) >> 44 for a, b in zip(w, w[1:], strict=False)}
+        if len(w) >= 5:
+            out.add(((sum(a == b for a, b in zip(w, w[1:], strict=False)) * 10 // len(w) + 1) * mult * mult & mask) >> 44)
+        return out
+
+    sets = [(i, grams(t)) for i, t, _ in rows]
+    raw, yes, no = Counter(), Counter(), Counter()
+    for i, g in sets:
+        raw.update(g), (yes if good.get(i) == 1 else no if good.get(i) == 0 else Counter()).update(g)
+    n, ny, nn = (sum(c.values()) for c in (raw, yes, no))
+
+    def ratio(r, y, b):
+        part = lambda x, e: x * math.log(x / e) if x else 0.0
+        g = max(0.0, 2 * (part(y, (y + b) * ny / (ny + nn)) + part(b, (y + b) * nn / (ny + nn))))
+        return math.log((y + 0.5) / (r * ny / n + 0.5)) * (g / (g + 24)) ** 2
+
+    mean = lambda g, f: sum(f(x) for x in g if yes[x] + no[x]) / max(len(g), 1)
+    want = [(i, mean(g, lambda x: ratio(raw[x], yes[x], no[x]))) for i, g in sets]
+    apart = sorted((mean(g, lambda x, c=good[i]: ratio(raw[x] - 1, yes[x] - c, no[x] - (1 - c))), good[i]) for i, g in sets if i in good)
+    got = quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(((r["doc_id"], r["log_ratio"]) for r in got), key=key) == [(i, pytest.approx(x, abs=1e-5)) for i, x in sorted(want, key=key)]
+    gains, bad, ok = [], 0, 0
+    for x, y in apart:
+        bad, ok = bad + 1 - y, ok + y
+        gains.append(bad / sum(1 - y for _, y in apart) - 2 * ok / sum(y for _, y in apart))
+    best = int(np.argmax(gains))
+    limit = (apart[best][0] + apart[best + 1][0]) / 2
+    assert {r["accepted"] for r in got if abs(r["log_ratio"] - limit) > 1e-5} == {True, False} and all(r["accepted"] == (r["log_ratio"] > limit) for r in got if abs(r["log_ratio"] - limit) > 1e-5)
+    k = sum(r["accepted"] for r in got)
+    least = sorted((r["gumbel_key"] for r in got), reverse=True)[k - 1]
+    assert all(r["kept"] == (r["gumbel_key"] >= least) for r in got)
+    noise = {r["doc_id"]: r["gumbel_key"] - 1000 * r["log_ratio"] for r in got}
+    assert 0.2 < np.mean(list(noise.values())) < 1.0 and 0.9 < np.std(list(noise.values())) < 1.7 and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_quality_rejects_toxic_at_any_size(spark, size):
     labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
@@ -278,6 +411,43 @@ def test_media_round_trip(spark, tmp_path):
         media.from_png(media.to_png(b"\x01" * 576)[:-20] + b"x" * 20)
 
 
+def test_media_of_odd_rows(spark, monkeypatch):
+    rows = [(1, "x" * 200_000, 1), (1, "x" * 200_000, 2), (None, None, 3), (2, "", 4), (3, "é" * 288, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media int")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["media_sha256"], r["feature"]) for r in media.media_columns(df).collect()), key=str)
+    assert len(got) == 5 and got[0] == got[1] and [g[1] for g in got] == [200_000, 200_000, 0, 576, 0]
+    assert got[2][2:] == got[4][2:] and media.media_columns(df.limit(0)).count() == 0
+
+
+def test_media_members_are_tried_again(tmp_path):
+    import io
+    import zipfile
+
+    raw = b"\x07" * 576
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("0.png", media.to_png(raw))
+    (tmp_path / "a.zip").write_bytes(f.getvalue())
+    info = zipfile.ZipFile(tmp_path / "a.zip").infolist()[0]
+    reader = media.ArchiveReader({"path": str(tmp_path), "tries": "3"})
+    calls = []
+
+    class Flaky:
+        def open_input_file(self, path):
+            import pyarrow as pa
+
+            calls.append(path)
+            if len(calls) < 3:
+                raise OSError("gone")
+            return pa.OSFile(path)
+
+    data, payload, error = reader.member(Flaky(), str(tmp_path / "a.zip"), info)
+    assert error is None and payload == raw and len(calls) == 3
+    reader.tries = 1
+    calls.clear()
+    assert "gone" in reader.member(Flaky(), str(tmp_path / "a.zip"), info)[2]
+
+
 def test_url_filter(spark):
     urls = ["http://www.example.org/es/1", "https://EXAMPLE.org/en/12?x", "https://a.b.com/fr/", "http://com/de/x#y", "ftp://x.net", None, "no scheme", "http://example.org", "http://org/", "http://notexample.org/es/", "http://example.org:80/es/"]
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), (None, "/", "block")]
@@ -289,6 +459,10 @@ def test_url_filter(spark):
         fit = sorted(((len(h + q), h + q, v) for h, q, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(q)), reverse=True)
         assert (x["host"], x["path"], x["rule"], x["verdict"]) == (host, path, *(fit[0][1:] if fit else (None, "allow")))
     assert filter_urls(df, r).count() == len(urls) + 1 and filter_urls(df.limit(0), r).count() == 0
+    hot = spark.range(3000).selectExpr("id page_id", "concat('http://h', id % 50, '.example.org/', if(id % 3 = 0, 'es/', 'x/'), id) url")
+    for salts in (None, 3):
+        out = filter_urls(hot, r, salts=salts)
+        assert out.count() == 3000 and out.where("verdict <> if(page_id % 3 = 0, 'block', 'allow')").count() == 0
 
 
 def test_line_dedup(spark):
@@ -296,9 +470,62 @@ def test_line_dedup(spark):
     rows = [(1, f"first line of its own, quite long\n{long}\nshort"), (2, f"another line that is only here, also long\n{long.upper()}\nshort"), (3, long.replace("yesterday", "yesterdays")), (4, None), (5, ""), (None, long), (6, "a text without any repeated line whatsoever in it")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in dedup_lines(df).collect()}
-    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "another line that is only here, also long\nshort" and out[2]["n_dropped"] == 1
-    assert out[3]["n_dropped"] in (0, 1) and out[4]["text"] is None and out[6]["text"] == rows[6][1] and out[None]["n_dropped"] == 0
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "another line that is only here, also long" and out[2]["n_dropped"] == 2
+    assert out[3]["n_dropped"] == 1 and out[4]["text"] is None and out[6]["text"] == rows[6][1] and out[None]["n_dropped"] == 0
+    assert {r["doc_id"]: r["n_dropped"] for r in dedup_lines(df, least=25).collect()}[2] == 1
     assert dedup_lines(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "1 as drop", "2 as drop_id", "3 as n_lines", "4 as id", "5 as pos", "6 as h1")
+    again = dedup_lines(odd)
+    assert again.columns == ["doc_id", "text", "drop", "drop_id", "id", "pos", "h1", "n_lines", "n_dropped"]
+    assert {r["doc_id"]: (r["text"], r["n_dropped"], r["drop"], r["id"]) for r in again.collect()} == {k: (r["text"], r["n_dropped"], 1, 4) for k, r in out.items()}
+
+
+def line_groups_brute(lines, similarity=0.9):
+    """Groups of equal or near lines, by all pairs."""
+    low = [" ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[1-9]", "0", x.lower()))) for x in lines]
+    parent = list(range(len(low)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    for i in range(len(low)):
+        for j in range(i):
+            most = int(max(len(low[i]), len(low[j])) * (1 - similarity) + 1e-9)
+            if abs(len(low[i]) - len(low[j])) <= most and distance(low[i], low[j]) <= most:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(low))]
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300)]
+    lines = []
+    for _ in range(12):  # families of lines around one, and around each other
+        base = list(rng.choice(vocab, rng.integers(4, 30)))
+        for _ in range(6):
+            lines.append(" ".join(base))
+            k = rng.integers(len(base))
+            base = base[:k] + ([] if rng.random() < 0.3 else [vocab[rng.integers(300)]] if rng.random() < 0.5 else [base[k] + "s"]) + base[k + 1 :] if len(base) > 4 else base
+    rng.shuffle(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"] for r in dedup_lines(df).collect() if r["n_dropped"]}
+    groups = line_groups_brute(lines)
+    first = {}
+    for i, g in enumerate(groups):
+        first.setdefault(g, i)
+    want = {i for i, g in enumerate(groups) if first[g] != i}
+    assert got <= want and len(got) >= 0.95 * len(want) > 10
 
 
 def test_line_dedup_fuzzy_recall(spark):
@@ -333,9 +560,50 @@ def test_line_dedup_without_representatives(spark):
     assert out == {0: 0, 1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1}
 
 
-def test_pipeline_columns(spark):
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage's decisions against what its rows are made for."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near copies", "decontamination", "mixing"]
+    rng = np.random.default_rng(6)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(400)]
+    text = lambda n=80: " ".join(rng.choice(vocab, n))
+    passage, item = text(60), text(20)
+    texts = [text() for _ in range(200)]
+    texts += [t + " vile scum vile" for t in (text() for _ in range(60))]  # 200 to 259, labelled bad
+    texts += [text() + "\n" + passage + "\n" + text() for _ in range(3)]  # 260 to 262
+    near = text(200)
+    texts += [near, near.rsplit(" ", 1)[0] + " other", near, text(30) + " " + item + " " + text(30), None, ""]  # 263 to 268
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s0", 1), (None, text(), "en", None, 1)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, int(not 200 <= i < 260), 0) for i in range(0, 260, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, sf), "stage")
+        seen[name] = {r["doc_id"]: r for r in docs.collect()}, docs.count()
+        assert name == "mixing" or docs.columns == columns
+    ids = {name: set(x) for name, (x, _) in seen.items()}
+    assert len(ids["quality classifier"] & set(range(200))) >= 196 and len(ids["quality classifier"] & set(range(200, 260))) <= 2 and None in ids["quality classifier"]
+    lines = seen["line dedup"][0]
+    assert [passage in lines[i]["text"] for i in (260, 261, 262)] == [True, False, False] and lines[261]["n_chars"] == len(lines[261]["text"])
+    assert ids["near copies"] & {263, 264, 265} == {263} and sum(r["doc_id"] == 0 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()) == 2
+    assert seen["near copies"][1] == len(ids["near copies"])  # the repeated row is gone
+    assert ids["near copies"] - ids["decontamination"] == {266}
+    out = seen["mixing"][0]
+    assert ids["mixing"] == ids["decontamination"] and all(r["taken"] <= 2 * r["size"] for r in out.values())
+    source = {r["doc_id"]: r["source"] for r in seen["decontamination"][0].values()}
+    targets = {source[i]: (r["target"], r["source_size"]) for i, r in out.items()}
+    assert sum(t for t, _ in targets.values()) == pytest.approx(1.5 * sum(r["size"] for r in out.values())) and all(t <= 2 * n for t, n in targets.values())
+    for x, (t, _) in targets.items():
+        own = [r for i, r in out.items() if source[i] == x]
+        assert abs(sum(r["taken"] for r in own) - t) <= max(r["size"] for r in own)
+
+
+def test_pipeline_columns(spark):
+    import corpus_pipeline
+
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() > 50
