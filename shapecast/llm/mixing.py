@@ -25,14 +25,11 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     part of what is left reaches their limit are full, until none is added. No task sorts all sources: they are numbered
     within ranges, and shifted by the sizes of the ranges before.
     """
-    spark = sizes.sparkSession
-    ranges = written(sizes.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
-    shift, before = [(-1, 0)], 0
-    for r in ranges.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per range
-        shift.append((r["part"], before))
-        before += r["n"]
+    ranges = written(sizes.repartitionByRange(partitions(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shift = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))  # a row per range
     place = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) + F.col("before") - 1
-    t = ranges.join(F.broadcast(spark.createDataFrame(shift, "part int, before long")), "part").withColumn("r", place)
+    t = ranges.join(F.broadcast(shift), "part").withColumn("r", place)
     t = t.select("source", "source_size", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("r") % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * most).alias("lim"))
     t = written(t, "weights")
     left, w_left = t.agg(F.coalesce(F.sum("source_size") * share, F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
