@@ -22,7 +22,7 @@ WHITE_CHARS = " \t\n\x0b\f\r"
 #: Rows up to which a table whose size was counted is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes that are sent to Python at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def lower_ascii(text: Column) -> Column:

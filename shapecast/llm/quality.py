@@ -47,7 +47,7 @@ def features(flat: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 CHUNK = 4096
 #: Words whose features are in memory at once, but for a single longer text.
-SLICE = 250_000
+SLICE = 125_000
 
 
 def slices(texts: pa.Array):
