@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forget, small
-from .tokens import tokens
+from .tokens import tokens, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,6 +79,7 @@ def signer(k: int, bands: int, rows: int):
                 keys.append(h.view(np.int64))
                 sig.append((m & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["id", "th", "n", "digest", "bands", "sig"])
+        trimmed()
 
     return run
 
@@ -120,6 +121,7 @@ def compare_sets(k: int, percent: int):
                 inter.append(int(np.count_nonzero(both[1:] == both[:-1])))
                 link.append(100 * inter[-1] >= percent * (len(both) - inter[-1]))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(link, pa.bool_())], ["a", "b", "inter", "link"])
+        trimmed()
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small, written
-from .tokens import tokens
+from .tokens import tokens, trimmed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,6 +76,8 @@ def counter(bits: int):
             if part[0].any():
                 at = np.arange(0, len(part[0]) + 1, CHUNK, dtype=np.int32)
                 yield pa.record_batch([pa.array(np.arange(i // CHUNK, i // CHUNK + len(at) - 1), pa.int64()), *[pa.ListArray.from_arrays(at, x) for x in part]], ["chunk", "raw", "good", "bad"])
+        del n
+        trimmed()
 
     return run
 
@@ -120,6 +122,8 @@ def scorer(at: np.ndarray, value: np.ndarray, bits: int):
                     known = mine >= 0
                     apart[first:last] = np.bincount(doc[known], ratio[2 - mine[known], ids[known]], last - first) / n
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(apart, pa.float64())], ["id", "good", "log_ratio", "apart"])
+        del ratio
+        trimmed()
 
     return run
 

@@ -6,6 +6,7 @@ running sums give it for all words of a batch at once. UTF-8 never has a separat
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -23,6 +24,15 @@ VALUES[65:91] = VALUES[97:123]
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def trimmed() -> None:
+    """Gives freed memory back, since a Python worker stays after its task, beside the work of others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(base: int, n: int) -> np.ndarray:
     x = np.full(n, base % (1 << 64), np.uint64)
     x[:1] = 1
