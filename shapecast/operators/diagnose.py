@@ -24,7 +24,7 @@ def with_residuals(model: Model, data: DataFrame | None = None, type: str = "qua
     """data with residuals. quantile: Phi^-1(F(y)), at a random point of the jump for discrete families if seed is given, else at its middle; simple: (y - mu) / sigma."""
     df = model.data if data is None else data
     y = expression(model.response)
-    if type == "simple":
+    if type == "simple" or model.family.name == "NO":  # the normal's quantile residual, without the errors of Phi and its inverse
         c = parameter_columns(model)
         return df.withColumn(out, (y - c["mu"]) / c.get("sigma", F.lit(1.0)))
     r = with_cdf(model, df, "__hi")
@@ -133,7 +133,7 @@ def q_stats(model: Model, xvar: str, n_inter: int = 10, data: DataFrame | None =
     """Per interval of xvar: n and Z1 to Z4 (mean, variance, skewness, kurtosis against a normal), and k2, z3 and z4 squared and added."""
     df, _ = cut(with_residuals(model, data), xvar, n_inter, "width", points)
     g = df.groupBy("interval").agg(F.count("*").alias("n"), F.avg("z").alias("m"), F.var_samp("z").alias("v"), F.skewness("z").alias("s"), (F.kurtosis("z") + 3).alias("k"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # a long's fourth power overflows from 41,800 rows
     z1, z2 = F.sqrt(n) * F.col("m"), (F.pow(F.col("v"), F.lit(1 / 3)) - (1 - 2 / (9 * n - 9))) / F.sqrt(2 / (9 * n - 9))
     y = F.col("s") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))

@@ -249,5 +249,23 @@ def test_q_totals(rows):
     assert set(t) == {"Q1", "Q2", "Q3", "Q4"} and all(0 <= r["p"] <= 1 and r["df"] == 3 for r in t.values())
 
 
+def test_q_stats_of_many_rows(spark):
+    n = 100_000  # 3 n^4 is beyond a long
+    df = spark.range(2 * n).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("y"))
+    m = fit.gamlss("y ~ 1", df, "NO")
+    got = {r["interval"]: r for r in diagnose.q_stats(m, "id", 2).collect()}
+    assert sum(r["n"] for r in got.values()) == 2 * n
+    y = np.array([r[0] for r in df.orderBy("id").select("y").collect()])
+    z = (y - y.mean()) / y.std()
+    for i, part in ((1, z[:n]), (2, z[n:])):
+        d = part - part.mean()
+        g1 = (d**3).mean() / (d**2).mean() ** 1.5
+        b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+        w2 = math.sqrt(2 * (b2 - 1)) - 1
+        z3 = math.asinh(g1 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / math.sqrt(2 / (w2 - 1))) / math.sqrt(math.log(math.sqrt(w2)))
+        assert got[i]["n"] == n and abs(got[i]["z1"] - math.sqrt(n) * part.mean()) < 1e-6 and abs(got[i]["z3"] - z3) < 1e-9
+        assert got[i]["z4"] < -100 and abs(got[i]["k2"] - got[i]["z3"] ** 2 - got[i]["z4"] ** 2) < 1e-6  # a uniform's tails
+
+
 def test_support_of_families():
     assert resolve("zipf").support == "count1" and constraints.response_constraint("PARETO").low == 1
