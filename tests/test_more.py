@@ -265,6 +265,7 @@ def test_q_stats_of_many_rows(spark):
         z3 = math.asinh(g1 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / math.sqrt(2 / (w2 - 1))) / math.sqrt(math.log(math.sqrt(w2)))
         assert got[i]["n"] == n and abs(got[i]["z1"] - math.sqrt(n) * part.mean()) < 1e-6 and abs(got[i]["z3"] - z3) < 1e-9
         assert got[i]["z4"] < -100 and abs(got[i]["k2"] - got[i]["z3"] ** 2 - got[i]["z4"] ** 2) < 1e-6  # a uniform's tails
+    assert all(r["q"] >= 0 for r in diagnose.q_totals(diagnose.q_stats(m, "id", 2)).collect())
 
 
 def test_support_of_families():
