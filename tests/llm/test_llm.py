@@ -528,6 +528,32 @@ def test_line_dedup_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 10
 
 
+def test_line_dedup_scattered_edits(spark):
+    """Edits spread evenly, at random and at the ends, as many as the similarity allows, on lines of one word to many: none is missed."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines = ["-" * 40, "-" * 37 + "=" * 3, "internationally", "internationaly", "one two", "aaaa bbbb cccc dddd eeee", "aaaa bbbb cccc dddd eeff", "ab " * 200, "ab " * 190]
+    for n in (11, 19, 20, 25, 29, 30, 39, 55, 89, 90, 91, 100, 140, 255, 256, 257, 300, 530, 1100):
+        for how in range(4):
+            base = "".join(rng.choice([*letters, " "], n - 2, p=[0.85 / 26] * 26 + [0.15])).replace("  ", "xy")
+            base = f"x{base}y".replace("  ", "xy")
+            t = n // 10
+            at = sorted(rng.choice(n, t, replace=False)) if how == 1 else [n - 1 - k for k in range(t)] if how == 2 else [9 + 10 * k for k in range(t)]
+            other = list(base)
+            for k in reversed(at):
+                other[k : k + 1] = [] if how == 3 and k % 2 else ["é"] if how < 3 or len(other) < n else ["é", other[k]]
+            lines += [base, "".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"] for r in dedup_lines(df).collect() if r["n_dropped"]}
+    groups = line_groups_brute(lines[2:])
+    first = {}
+    for i, g in enumerate(groups):
+        first.setdefault(g, i)
+    want = {i + 2 for i, g in enumerate(groups) if first[g] != i}
+    assert got - {1} == want and 1 in got and len(want) >= 70
+    assert len({r["doc_id"] for r in dedup_lines(df, exact=False).collect() if r["n_dropped"]}) < len(got)
+
+
 def test_line_dedup_fuzzy_recall(spark):
     rng = np.random.default_rng(3)
     vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(3000)]
