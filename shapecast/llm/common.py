@@ -10,6 +10,8 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 #: Rows up to which a table whose size was counted is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Edges up to which components are found on the driver (4 MB).
+LOCAL_EDGES = 250_000
 #: Bytes that are sent to Python at once.
 BATCH_BYTES = 2 << 20
 
@@ -135,10 +139,22 @@ class Scratch:
             forget(self.made.pop())
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, sorted, and of each the smallest node reachable."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while not np.array_equal(p := root[x], q := root[y]):
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b), as a written table: the smallest node reachable.
+    """(node, component) for the nodes of edges (a, b), which are longs, as a written table: the smallest node reachable.
 
-    Alternating large-star and small-star. Both turn the edges of a node into a star around its smallest neighbour,
+    Up to LOCAL_EDGES counted edges, the driver does it, as each round below costs several shuffles. Beyond that, alternating large-star and small-star. Both turn the edges of a node into a star around its smallest neighbour,
     so an edge set never grows, and the rounds grow with the logarithm of the number of nodes. The neighbours of one
     node are never gathered: the smallest comes from a partial aggregation and a join back.
     """
@@ -158,6 +174,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = state(now)
+    if before[0] <= LOCAL_EDGES:
+        few = now.toArrow()
+        of = smallest_reachable(few["a"].to_numpy(), few["b"].to_numpy())
+        out = written(edges.sparkSession.createDataFrame(pa.table(dict(zip(("node", "component"), of, strict=True)))), "components")
+        forget(now)
+        return out
     for _ in range(most_rounds if before[0] else 0):
         put = Scratch()
         put.made.append(now)
