@@ -583,6 +583,34 @@ def test_line_dedup_scattered_edits(spark):
     assert len({r["doc_id"] for r in dedup_lines(df, exact=False).collect() if r["n_dropped"]}) < len(got)
 
 
+def test_line_dedup_in_slices(spark, monkeypatch):
+    """Seeds in slices by length, and of one length in parts, find what one slice finds; no place of a line is shuffled."""
+    from shapecast.llm import line_dedup
+
+    assert line_dedup._slices([(20, 20, 4), (21, 22, 5), (30, 31, 25), (40, 40, 2)], 10) == [(20, 22, 1), (30, 31, 3), (40, 40, 1)]
+    rng = np.random.default_rng(5)
+    lines = []
+    for n in (20, 45, 90, 91, 130, 260):
+        for _ in range(3):
+            base = "x" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n - 1))
+            lines += [base, "".join("é" if k % 10 == 9 else c for k, c in enumerate(base))]
+    df = spark.createDataFrame([(i, x, i) for i, x in enumerate(lines)], "h1 long, text string, component long")
+    plans = []
+
+    def found():
+        put = line_dedup.Scratch()
+        keep = lambda x, what: (plans.append(x._jdf.queryExecution().executedPlan().toString()) if what == "seeded" else None, put(x, what))[1]
+        out = {tuple(sorted(r)) for r in line_dedup.seeded(df, 0.9, keep).select("a", "b").distinct().collect()}
+        put.clear()
+        return out
+
+    whole = found()
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0] and "BroadcastHashJoin" in plans[0]
+    assert whole >= {(i, i + 1) for i in range(0, len(lines), 2)}
+    monkeypatch.setattr(line_dedup, "SEEDS", 20)
+    assert found() == whole and len(plans) > 10
+
+
 def test_line_dedup_fuzzy_recall(spark):
     rng = np.random.default_rng(3)
     vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(3000)]
